@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, token_files
+from . import decontaminate, quality, secrets, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan every distinct text of the documents once, under an empty ledger, and list findings by document."""
+    paths, findings, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    listed = secrets.by_path(paths, findings).withColumn("spans", secrets.listing())
+    return listed.select(F.col("path").alias("doc_id"), *(F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in secrets.RULES), F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write the files, and describe each document from the files."""
