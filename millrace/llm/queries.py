@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secrets, token_files
-from .common import table
+from . import decontaminate, mixing, quality, secrets, token_files
+from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,40 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rake all documents towards the square roots of their source, language and topic totals, and draw."""
+    rows = stored(mixing.weighed(table(spark, sf_dir, "documents")))
+    drawn = mixing.sample(rows, mixing.probabilities(rows))
+    return drawn.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "sampled")
+
+
+def _mixing_sql() -> str:
+    margins = ("source", "lang", "topic")
+    steps = [
+        r"""rows_ as materialized (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang,
+            case when contains(t, ' | ') then 'table' when regexp_matches(t, '[0-9]') then 'figures' when contains(t, '!') then 'calls' else 'prose' end as topic,
+            len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::bigint as tokens
+            from (select *, coalesce(text, '') as t from documents))""",
+        "c0 as materialized (select source, lang, topic, sum(tokens)::double as tokens, sum(tokens)::double as fitted from rows_ group by 1, 2, 3)",
+    ]
+    for m in margins:
+        steps.append(f"g_{m} as materialized (select {m}, sqrt(n) / sum(sqrt(n)) over () * sum(n) over () as goal from (select {m}, sum(tokens) as n from c0 group by 1) where n > 0)")
+    n = 0
+    for _ in range(mixing.ROUNDS):
+        for m in margins:
+            steps.append(f"c{n + 1} as materialized (select source, lang, topic, tokens, fitted * case when now > 0 then coalesce(goal, 0) / now else 1 end as fitted from (select *, sum(fitted) over (partition by {m}) as now from c{n}) left join g_{m} using ({m}))")
+            n += 1
+    steps.append(f"f as materialized (select *, case when tokens > 0 then fitted / tokens else 1 end as factor from c{n})")
+    steps.append("p as (select *, least(1.0, factor / (select greatest(coalesce(max(factor) filter (tokens > 0), 1.0), 1.0) from f)) as probability from f)")
+    return f"""with {", ".join(steps)} select doc_id, source, lang, topic, r.tokens, round(probability, 9) as probability,
+        coalesce(('0x' || substr(md5('mix:' || doc_id), 1, 8))::bigint / 4294967296.0 < probability, false) as sampled
+        from rows_ r join p using (source, lang, topic)"""
+
+
+ORACLES["op1_mixing"] = _mixing_sql()
+
+
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents with a classifier learned from the labelled ones."""
