@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secrets, token_files
+from . import decontaminate, lines, mixing, quality, secrets, token_files
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove repeated runs of lines from all documents and describe what is left."""
+    done = lines.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__chunks").alias("n_chunks"), F.col("__removed").alias("n_removed_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search all documents for ten-word windows of all benchmark items."""
