@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, quality, secrets, token_files
+from . import decontaminate, lines, minhash, mixing, quality, secrets, token_files
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,12 @@ def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__chunks").alias("n_chunks"), F.col("__removed").alias("n_removed_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of similarity 0.85 and more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search all documents for ten-word windows of all benchmark items."""
