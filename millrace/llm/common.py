@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -60,7 +61,7 @@ def _sweep() -> None:
             return
 
 
-def stored(df: DataFrame, *, partitions: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: what follows reads files, so a lost executor costs
@@ -68,11 +69,16 @@ def stored(df: DataFrame, *, partitions: int | None = None, options: dict[str, s
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    out = df.coalesce(partitions) if partitions else df
-    out.write.options(**(options or {})).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps: it does so when their plans have been collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on `key` and `seed` only: 32 bits of an MD5 digest."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))

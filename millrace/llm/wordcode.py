@@ -122,3 +122,11 @@ def sequence_codes(codes: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = out * BASE + codes[k : k + m]
     return scramble(out)
+
+
+def codes_at(codes: np.ndarray, starts: np.ndarray, n: int, base: np.uint64 = BASE) -> np.ndarray:
+    """sequence_codes() at chosen starts only; another base gives independent codes."""
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(n):
+        out = out * base + codes[starts + k]
+    return scramble(out)
