@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, minhash, mixing, passages, quality, secrets, token_files
+from . import decontaminate, lines, minhash, mixing, neighbours, passages, quality, secrets, token_files
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors to every vector whose id is divisible by 100."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove repeated runs of lines from all documents and describe what is left."""
