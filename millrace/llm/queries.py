@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, minhash, mixing, neighbours, passages, quality, secrets, token_files
+from . import decontaminate, lines, minhash, mixing, neighbours, passages, pii, quality, secrets, token_files
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,25 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(F.col("path").alias("doc_id"), *(F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in secrets.RULES), F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find personal data in all documents with a field fitted on some of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+
+    def listed(spans: Column) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    nth = {k: i for i, k in enumerate(pii.KINDS)}
+    order = F.create_map(*(F.lit(x) for kv in nth.items() for x in kv))
+    placed = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("nth"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(counted, pii.KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(placed).alias("spans"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write the files, and describe each document from the files."""
