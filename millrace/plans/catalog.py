@@ -1,10 +1,4 @@
-"""Registered queries over the driver tables and the SQL that each must equal."""
+"""All registered queries over the driver tables."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import cohort_queries, entity_queries, event_queries, learning_queries, rank_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
