@@ -7,7 +7,8 @@ whose hash occurs more than once in the corpus are candidates.  The bytes of
 every candidate are compared with those of its first occurrence (smallest
 doc_id, then place) and, if equal, it is removed; the first one stays.
 
-Hash groups are reduced to their first occurrence by partial sums before any
+Texts meet their marks in merge joins whatever the size of either, so the plan is
+the same for a small corpus as for a large one.  Hash groups are reduced to their first occurrence by partial sums before any
 shuffle; the candidates then meet that one row, in joins that split hot keys.
 
 Defined results: a null text stays null and has no lines; an empty text has one
@@ -121,7 +122,7 @@ def repeats(docs: DataFrame, marked: DataFrame) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "nth", "code", "is_first", "bytes"])
 
-    given = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(marked.withColumnRenamed("doc_id", "__id"), "__id").select("__id", "__text", "marks")
+    given = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(marked.withColumnRenamed("doc_id", "__id").hint("merge"), "__id").select("__id", "__text", "marks")
     cut = stored(_texts_with(given, work, "doc_id long, nth int, code long, is_first boolean, bytes binary"))
     firsts = cut.where("is_first").dropDuplicates(["code"]).select("code", F.col("bytes").alias("first_bytes"))
     return cut.where("not is_first").join(firsts, "code").where("bytes = first_bytes").select("doc_id", "nth", "code").distinct()
@@ -155,7 +156,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         n_chunks = np.bincount(text, minlength=n)
         return pa.RecordBatch.from_arrays([*(batch.column(f"__k{i}") for i in range(len(keep))), pa.array(texts, pa.string()), pa.array(lines.count.astype(np.int64)), pa.array(n_chunks.astype(np.int64)), pa.array(removed)], [*(f"__k{i}" for i in range(len(keep))), "__text", "__lines", "__chunks", "__removed"])
 
-    given = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep))).join(gone, "__id", "left").drop("__id")
+    given = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep))).join(gone.hint("merge"), "__id", "left").drop("__id")
     schema = ", ".join([*(f"__k{i} {types[c]}" for i, c in enumerate(keep)), "__text string, __lines long, __chunks long, __removed long"])
     done = _texts_with(given, work, schema)
     place = {c: f"__k{i}" for i, c in enumerate(keep)} | {"text": "__text"}
