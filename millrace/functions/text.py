@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Latin letters with marks and their plain forms, place by place
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćđěřůłńśźżąęőűğışțăāēīūķļņģ"
@@ -20,7 +21,7 @@ def fold(text: Column) -> Column:
     return out
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_name(names: pd.Series) -> pd.Series:
     """HTML entities resolved, case folded, all combining marks gone, other signs as single blanks."""
     import html

@@ -64,4 +64,4 @@ def ridge(df: DataFrame, predictors: list[str], target: str, *, key: Column, fol
     best = int(np.argmin(errors))
     spread = whole[-1, -1] - whole[0, -1] ** 2 / n
     w = _solve(whole, float(alphas[best]))
-    return {"alpha": float(alphas[best]), "intercept": float(w[0]), "coefficients": dict(zip(predictors, map(float, w[1:]), strict=True)), "r2": 1 - errors[best] / spread if spread else None, "rmse": (errors[best] / n) ** 0.5, "n": n}
+    return {"alpha": float(alphas[best]), "intercept": float(w[0]), "coefficients": dict(zip(predictors, map(float, w[1:]), strict=True)), "r2": float(1 - errors[best] / spread) if spread else None, "rmse": float((errors[best] / n) ** 0.5), "n": n}

@@ -15,8 +15,8 @@ def encode(value: Column) -> Column:
 
 
 def cell(x: Column, y: Column, columns: int, rows: int) -> Column:
-    """Column-major number of a grid cell; the far edge belongs to the last cell."""
-    at = lambda v, n: F.least(F.floor(v * n / FULL), F.lit(n - 1))
+    """Column-major number of a grid cell; the far edge belongs to the last cell; null without a place."""
+    at = lambda v, n: F.when(v.isNotNull(), F.least(F.floor(v * n / FULL), F.lit(n - 1)))
     return (at(x, columns) * rows + at(y, rows)).cast("int")
 
 

@@ -51,8 +51,9 @@ def scorecard(df: DataFrame, key: str, group: str, metrics: list[str], scores: l
     """
     rows = df.where(eligible)
     long = winsorized_zscore(unpivot(rows, [key, group], metrics), [group, "metric"], "value", "z")
-    wide = long.groupBy(key, group).pivot("metric", metrics).agg(F.first("z"))
-    out = wide.select(key, group, *(s.column().alias(s.name) for s in scores))
-    for s in scores:
-        out = midrank_percentile(out, [group], s.name, f"{s.name}_percentile")
-    return out
+    z = lambda m: F.max(F.when(F.col("metric") == m, F.col("z"))).alias(m)
+    wide = long.groupBy(key, group).agg(*map(z, metrics))
+    raw = unpivot(wide.select(key, group, *(s.column().alias(s.name) for s in scores)), [key, group], [s.name for s in scores])
+    ranked = midrank_percentile(raw, [group, "metric"], "value", "pct")
+    back = [F.max(F.when(F.col("metric") == s.name, F.col(c))).alias(s.name + tail) for s in scores for c, tail in (("value", ""), ("pct", "_percentile"))]
+    return ranked.groupBy(key, group).agg(*back)

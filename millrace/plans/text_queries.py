@@ -1 +1,54 @@
+"""Search folding, reading time and article filters over documents and conversations."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from .registry import query, read
+
+_FOLD = f"replace(replace(replace(replace(translate(lower({{0}}), '{text.MARKED}', '{text.PLAIN}'), 'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss')"
+
+
+@query(f"select doc_id, lang, strpos({_FOLD.format('text')}, 'entre ') as place from documents where contains({_FOLD.format('text')}, 'entre ')")
+def fold_search(spark: SparkSession, d: str) -> DataFrame:
+    folded = text.fold(F.col("text"))
+    return read(spark, d, "documents").where(F.contains(folded, F.lit("entre "))).select("doc_id", "lang", F.instr(folded, "entre ").cast("long").alias("place"))
+
+
+@query(r"select doc_id, greatest(1, ceil(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) / 220.0))::int as minutes from documents")
+def reading_time(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", text.reading_minutes(F.col("text")).alias("minutes"))
+
+
+@query("""select doc_id, source, n_chars from documents where lang in ('fr', 'de') and n_chars between 500 and 3000 and contains(lower(text), 'la') and len(list_intersect(string_split(source, 'c'), ['sr', '1', '2', '3'])) > 1""")
+def article_filter(spark: SparkSession, d: str) -> DataFrame:
+    topics = F.split("source", "c")
+    wanted = F.array(*(F.lit(x) for x in ("1", "2", "3")))
+    rows = read(spark, d, "documents").where(F.col("lang").isin("fr", "de") & F.col("n_chars").between(500, 3000) & F.contains(F.lower("text"), F.lit("la")) & F.arrays_overlap(topics, wanted))
+    return rows.select("doc_id", "source", "n_chars")
+
+
+@query("""select a.doc_id, b.doc_id as related from documents a join documents b on a.source = b.source and a.lang = b.lang and a.doc_id <> b.doc_id where a.doc_id % 100 = 0 qualify row_number() over (partition by a.doc_id order by abs(a.n_chars - b.n_chars), b.doc_id) <= 3""")
+def related_articles(spark: SparkSession, d: str) -> DataFrame:
+    """The three documents of the same source and language nearest in length to each chosen one, itself left out."""
+    from pyspark.sql import Window
+
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    a, b = docs.where("doc_id % 100 = 0").alias("a"), docs.alias("b")
+    met = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.doc_id") != F.col("b.doc_id")))
+    rows = met.select(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("related"), F.abs(F.col("a.n_chars") - F.col("b.n_chars")).alias("gap"))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("gap", "related"))).where("n <= 3").select("doc_id", "related")
+
+
+@query("""select conv_id, count(*) as turns, count(*) filter (role = 'user') as asked, list(distinct role order by role) as roles, max(length(text)) as longest from conversations group by 1""")
+def conversation_facets(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "conversations").groupBy("conv_id")
+    return c.agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.array_sort(F.collect_set("role")).alias("roles"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query("""select c_name, trim(regexp_replace(lower(c_name), '[^0-9a-z]+', ' ', 'g')) as canonical, regexp_replace(lower(c_name), '[^0-9a-z]+', '', 'g') as bare, coalesce(try_cast(nullif(regexp_extract(c_name, '([0-9]+)$', 1), '') as int), 999) as tier from customer""")
+def name_forms(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer")
+    return c.select("c_name", text.canonical_name(F.col("c_name")).alias("canonical"), text.alnum_name(F.col("c_name")).alias("bare"), text.trailing_number(F.col("c_name")).alias("tier"))

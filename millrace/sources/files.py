@@ -30,8 +30,8 @@ def merged_pages(pages: DataFrame, keys: list[str], number: str, first: list[str
     """Pages of one entity as a row: the first page's value for `first`, the last page's for each map key."""
     ends = pages.groupBy(*keys).agg(*(F.min_by(c, number).alias(c) for c in first))
     for m in maps:
-        entries = pages.select(*keys, number, F.explode(m).alias("k", "v")).groupBy(*keys, "k").agg(F.max_by("v", number).alias("v"))
-        ends = ends.join(entries.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(m)), keys, "left")
+        entries = pages.select(*keys, number, F.explode(m).alias("__key", "__value")).groupBy(*keys, "__key").agg(F.max_by("__value", number).alias("__value"))
+        ends = ends.join(entries.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__key", "__value")))).alias(m)), keys, "left")
     return ends
 
 
