@@ -87,7 +87,7 @@ def rake(cells, targets: Mapping[str, Mapping[str, float]], rounds: int = ROUNDS
     cells = cells.copy()
     total, fitted = cells["tokens"].sum(), cells["tokens"].to_numpy(np.float64).copy()
     codes = {m: cells[m].astype("category").cat for m in targets}
-    goal = {m: np.array([targets[m].get(k, 0.0) * total for k in c.categories]) for m, c in codes.items()}
+    goal = {m: np.array([targets[m].get(k, 0.0) * total for k in c.categories], np.float64) for m, c in codes.items()}
     for _ in range(rounds):
         for m, c in codes.items():
             now = np.bincount(c.codes, fitted, len(c.categories))

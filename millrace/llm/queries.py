@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, minhash, mixing, neighbours, passages, pii, quality, secrets, token_files
+from . import decontaminate, lines, minhash, mixing, neighbours, pair_sql, passages, pii, quality, secrets, token_files
 from .common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,9 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+ORACLES["op5_near_duplicates"] = pair_sql.NEAR_DUPLICATES
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search all documents for ten-word windows of all benchmark items."""
@@ -90,6 +93,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+ORACLES["op6_decontaminate"] = pair_sql.DECONTAMINATE
+
+
 @query
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove passages of twenty words that start earlier, over all documents."""
@@ -97,6 +103,9 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+ORACLES["op7_passages"] = pair_sql.PASSAGES
+
+
 @query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every distinct text of the documents once, under an empty ledger, and list findings by document."""
@@ -105,6 +114,24 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(F.col("path").alias("doc_id"), *(F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in secrets.RULES), F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+def _secrets_sql() -> str:
+    parts = []
+    for nth, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''").replace("{24,}+", "{24,}")
+        parts.append(f"""select doc_id, '{r.kind}' as kind, {nth} as nth, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+            s := list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+            n := length(m[i]), g := length(v[i])))) as x from (select doc_id, regexp_extract_all(t, '{pattern}', 0) as m, regexp_extract_all(t, '{pattern}', {r.group}) as v, string_split_regex(t, '{pattern}') as p from d)
+            where len(m) > 0""")
+    every = " union all ".join(f"select doc_id, kind, nth, x.s::bigint as s, (x.s + x.n)::bigint as e from ({p}) where x.g >= {r.least}" for p, r in zip(parts, secrets.RULES, strict=True))
+    counts = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secrets.RULES)
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents), f as ({every}),
+        g as (select doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' order by s, nth) as spans from f group by 1)
+        select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.RULES)}, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)"""
+
+
+ORACLES["op8_secrets"] = _secrets_sql()
+
+
 @query
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find personal data in all documents with a field fitted on some of them."""
