@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -73,10 +74,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished steps: it does so when their plans have been collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+def release(spark: SparkSession, *finished: DataFrame) -> None:
+    """Give back the disk of finished steps.
+
+    Tables that stored() wrote and nothing needs any more are deleted; shuffle
+    files go once the plans that made them have been collected on both sides.
+    """
+    for df in finished:
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            drop_dir(spark, path)
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def uniform(key: Column, seed: str) -> Column:

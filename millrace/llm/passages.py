@@ -12,9 +12,11 @@ it, and only those are hashed (twice 64 bits) and compared across the corpus.
 A window goes if the same words start earlier: at a smaller doc_id, or earlier
 in the same document.  Windows are judged on the input, not on what is left.
 
-Hot passages: windows that repeat inside one block of documents are settled
-there, only a block's first goes on; anchors and windows are reduced by partial
-sums before shuffles; the joins back are plain ones that split hot keys.
+Hot passages: a text that an earlier document holds byte for byte goes as a
+whole, before any window of it is looked at; windows that repeat inside one
+block of documents are settled there, only a block's first goes on; anchors and
+windows are reduced by partial sums before shuffles; the joins back are plain
+ones that split hot keys.
 
 Defined results: null, empty and short texts have no windows; kept words are
 joined by one blank, a null text gives an empty one; rows of one doc_id do not
@@ -35,8 +37,8 @@ from .common import blocks, prepare, release, stored
 from .wordcode import BASE, BY_BLANKS, codes_at, scramble, split
 
 WINDOW = 20
-PERIOD = 13
-COVER = (0, 1, 3, 9)
+PERIOD = 7
+COVER = (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK_BYTES = 1 << 20
 WIDE_BYTES = 8 << 20
@@ -85,8 +87,18 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     return every.select("code", "doc_id").join(often, "code").groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
 
 
-def windows(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """(h, g, doc_id, tag, start, leads): windows around repeated anchors; leads: the first of its words in its block."""
+def copies(keyed: DataFrame) -> DataFrame:
+    """(doc_id, tag) of rows whose whole text an earlier document holds."""
+    rows = keyed.where("doc_id is not null").select("doc_id", "tag", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
+    return rows.join(first, "sha").where("doc_id > first").select("doc_id", "tag").distinct()
+
+
+def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, g, doc_id, tag, start, leads): windows around repeated anchors; leads: the first of its words in its block.
+
+    wanted: doc_id, tag and the codes of repeated anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, WIDE_BYTES):
@@ -116,7 +128,7 @@ def windows(docs: DataFrame, marked: DataFrame) -> DataFrame:
                 leads[a[k]] = leads[b[k]]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(ids), batch.column("tag").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(leads)], ["h", "g", "doc_id", "tag", "start", "leads"])
 
-    return _keyed(docs).join(marked, "doc_id").select("doc_id", "tag", "text", "codes").mapInArrow(run, "h long, g long, doc_id long, tag long, start int, leads boolean")
+    return _keyed(docs).join(wanted.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "codes").mapInArrow(run, "h long, g long, doc_id long, tag long, start int, leads boolean")
 
 
 def repeats(found: DataFrame) -> DataFrame:
@@ -132,20 +144,24 @@ def dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     keyed = _keyed(docs)
+    whole = stored(copies(keyed))
     marked = stored(repeated_anchors(keyed))
     release(spark)
-    found = stored(windows(docs, marked))
-    release(spark)
-    gone = stored(repeats(found))
-    release(spark)
+    wanted = keyed.select("doc_id", "tag").distinct().join(whole, ["doc_id", "tag"], "left_anti").join(marked, "doc_id")
+    found = stored(windows(docs, wanted))
+    release(spark, marked)
+    gone = stored(repeats(found).select("doc_id", "tag", "starts", F.lit(False).alias("whole")).unionByName(whole.select("doc_id", "tag", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole"))))
+    release(spark, found, whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, BLOCK_BYTES):
             n_words, n_removed, kept = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts"), strict=True):
+            for text, starts, whole in zip(batch.column("text").to_pylist(), batch.column("starts"), batch.column("whole").to_pylist(), strict=True):
                 words = text.encode().split()  # at ASCII blanks, as bytes are
                 n_words.append(len(words))
-                if starts.is_valid:
+                if whole:
+                    words = words if len(words) < WINDOW else []
+                elif starts.is_valid:
                     at = starts.values.to_numpy()
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, at, 1)
@@ -156,4 +172,4 @@ def dedup(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return keyed.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return keyed.join(gone.hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "whole").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
