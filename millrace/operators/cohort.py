@@ -77,7 +77,7 @@ def top_with_pins(df: DataFrame, order: list[Column], n: int, pins: DataFrame, k
     rest = pinned.join(top.select(key), key, "left_anti")
     asked = pins.select(F.col(key).alias("__pin")).distinct()
     both = top.unionByName(rest)
-    return both.join(F.broadcast(asked), F.col(key) == F.col("__pin"), "left").withColumn("pinned", F.col("__pin").isNotNull()).drop("__pin")
+    return both.join(asked, F.col(key) == F.col("__pin"), "left").withColumn("pinned", F.col("__pin").isNotNull()).drop("__pin")
 
 
 def capped(df: DataFrame, order: list[Column], most: int) -> DataFrame:

@@ -23,9 +23,12 @@ def magnitude(value: Column, steps: int = STEPS) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code).cast("int")
 
 
-def cumulative_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """groups, value, n (rows of that value), below (rows of smaller ones), total (rows of the group); nulls left out."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+def cumulative_counts(df: DataFrame, groups: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """groups, value, n (rows of that value), below (rows of smaller ones), total (rows of the group); nulls left out.
+
+    With a weight, its sums stand for numbers of rows.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     dealt = counts.withColumn("bucket", magnitude(F.col(value)))
     totals = dealt.groupBy(*groups, "bucket").agg(F.sum("n").alias("in_bucket"))
     over = Window.partitionBy(*groups)
@@ -47,10 +50,8 @@ def midrank_percentile(df: DataFrame, groups: list[str], value: str, out: str, e
 def external_percentile(probes: DataFrame, population: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
     """Mid-rank percentiles of probes within a population that need not contain them."""
     both = probes.select(*groups, value).distinct().withColumn("__pop", F.lit(0)).unionByName(population.select(*groups, value).withColumn("__pop", F.lit(1)))
-    counts = both.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.sum("__pop").alias("n"))
-    over = Window.partitionBy(*groups)
-    ranked = counts.select(*groups, value, "n", F.sum("n").over(over.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(over).alias("total"))
-    pct = ranked.select(*groups, value, F.when(F.col("total") > 0, (F.col("upto") + F.col("upto") - F.col("n")) / 2.0 / F.col("total") * 100.0).alias(out))
+    ranked = cumulative_counts(both, groups, value, weight="__pop")
+    pct = ranked.select(*groups, value, F.when(F.col("total") > 0, (F.col("below") + F.col("below") + F.col("n")) / 2.0 / F.col("total") * 100.0).alias(out))
     return probes.join(pct, [*groups, value], "left")
 
 
