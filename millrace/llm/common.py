@@ -74,6 +74,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def meet(many: DataFrame, one: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join rows to a table with one row for each key, where any key may have very many rows.
+
+    `one` is stored first.  Then both sides of the merge join are plain shuffles,
+    whose large partitions adaptive execution may split; it cannot where a side
+    comes straight from an aggregation.
+    """
+    return many.join(stored(one).hint("merge"), on, how)
+
+
 def release(spark: SparkSession, *finished: DataFrame) -> None:
     """Give back the disk of finished steps.
 

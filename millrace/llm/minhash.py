@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, prepare, stored
+from .common import blocks, meet, prepare, stored
 from .components import components
 from .wordcode import BASE, BY_BLANKS, Words, scramble, sequence_codes, split
 
@@ -123,7 +123,7 @@ def table_keys(classes: DataFrame) -> DataFrame:
     """(node, key, n): table keys, from pairs of half keys, that can have more than one class."""
     halves = classes.select("node", "n", F.posexplode("halves").alias("i", "h"))
     shared = halves.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1").select("i", "h")
-    left = halves.join(shared, ["i", "h"], "left_semi").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("halves")).where(F.size("halves") > 1)
+    left = meet(halves, shared, ["i", "h"], "left_semi").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("halves")).where(F.size("halves") > 1)
     first = left.select("node", "n", "halves", F.posexplode("halves").alias("at", "x"))
     second = first.select("node", "n", "x", F.explode(F.slice("halves", F.col("at") + 2, F.lit(HALVES))).alias("y"))
     return second.select("node", "n", F.xxhash64("x.i", "x.h", "y.i", "y.h").alias("key"))
@@ -139,7 +139,7 @@ def residual_pairs(sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     rows = sets.join(of, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     rows = stored(rows)
     counts = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = rows.join(counts, "s", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("c", F.lit(1)), "s")) - 1)
+    ranked = meet(rows, counts, "s", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("c", F.lit(1)), "s")) - 1)
     # against any partner a set must share one of its first n - ceil(n * percent / 100) + 1
     front = stored(ranked.where(F.col("c").isNotNull() & (100 * (F.col("n") - F.col("at")) >= percent * F.col("n"))).select("s", "node", "component", "n", "at"))
     x, y = (front.select("s", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "component", "n", "at"))) for side in "xy")
@@ -151,18 +151,18 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(u, v): verified links that connect whatever is linked; classes: node, n, digest, halves."""
     keys = stored(table_keys(classes))
     centres = keys.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").select("key", "u")
-    met = keys.join(centres, "key")
+    met = stored(meet(keys, centres, "key"))
     # similar sets have similar sizes; a larger ratio needs no look at the sets
     size = classes.select(F.col("node").alias("u"), F.col("n").alias("nu"))
     stars = met.where("u <> node").select("u", F.col("node").alias("v"), "n").distinct().join(size, "u").where((100 * F.least("n", "nu") >= percent * F.greatest("n", "nu"))).select("u", "v").distinct()
     stars = stored(stars)
-    wanted = stored(keys.join(centres, "key", "left_semi").select("node").distinct())
+    wanted = stored(met.select("node").distinct())
     sets = stored(full_sets(docs, classes.select("node", "digest").join(wanted, "node", "left_semi")))
     links_ = stored(verified(stars, sets, percent))
     found = components(links_)
-    at = keys.join(centres, "key", "left_semi").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    at = stored(met.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
     open_keys = at.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    left = stored(at.join(open_keys, "key", "left_semi").select("node", "component").distinct())
+    left = stored(meet(at, open_keys, "key", "left_semi").select("node", "component").distinct())
     more = verified(residual_pairs(sets, left, percent), sets, percent)
     return links_.unionByName(more)
 
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     classes = stored(own.join(reps, ["digest", "node"]).dropDuplicates(["digest", "node"]))
     found = components(links(docs, classes, percent))
     of_digest = reps.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("of"))
-    joined = seen.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")
+    joined = meet(seen.select("doc_id", "n_shingles", "digest"), of_digest, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
