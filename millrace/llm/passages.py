@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, prepare, release, stored
+from .common import blocks, meet, prepare, release, stored
 from .wordcode import BASE, BY_BLANKS, codes_at, scramble, split
 
 WINDOW = 20
@@ -84,14 +84,14 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     """(doc_id, codes): anchors that occur more than once in the corpus, by document."""
     every = anchors(docs)
     often = every.groupBy("code").agg(F.sum("times").alias("times")).where("times > 1").select("code")
-    return every.select("code", "doc_id").join(often, "code").groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+    return meet(every.select("code", "doc_id"), often, "code").groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
 
 
 def copies(keyed: DataFrame) -> DataFrame:
     """(doc_id, tag) of rows whose whole text an earlier document holds."""
     rows = keyed.where("doc_id is not null").select("doc_id", "tag", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
-    return rows.join(first, "sha").where("doc_id > first").select("doc_id", "tag").distinct()
+    return meet(rows, first, "sha").where("doc_id > first").select("doc_id", "tag").distinct()
 
 
 def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def repeats(found: DataFrame) -> DataFrame:
     """(doc_id, tag, starts): windows whose words start earlier somewhere."""
     leading = found.where("leads")
     firsts = leading.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    later = leading.join(firsts, ["h", "g"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "tag", "start")
+    later = meet(leading, firsts, ["h", "g"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "tag", "start")
     return later.unionByName(found.where("not leads").select("doc_id", "tag", "start")).groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"))
 
 
