@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, prepare, stored
+from .common import blocks, meet, prepare, stored
 from .wordcode import BASE, Words, scramble
 
 REACH = 2
@@ -104,7 +104,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 def candidates(found: DataFrame) -> DataFrame:
     """(doc_id, marks): chunks whose code occurs elsewhere, marks being an array of (nth, code, is_first)."""
     firsts = found.groupBy("code").agg(F.min(F.struct("doc_id", "nth")).alias("first"), F.max(F.struct("doc_id", "nth")).alias("last")).where("first <> last").select("code", "first")
-    marked = found.join(firsts, "code").select("doc_id", F.struct("nth", "code", (F.struct("doc_id", "nth") == F.col("first")).alias("is_first")).alias("mark"))
+    marked = meet(found, firsts, "code").select("doc_id", F.struct("nth", "code", (F.struct("doc_id", "nth") == F.col("first")).alias("is_first")).alias("mark"))
     return marked.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
 
@@ -125,7 +125,7 @@ def repeats(docs: DataFrame, marked: DataFrame) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(marked.withColumnRenamed("doc_id", "__id").hint("merge"), "__id").select("__id", "__text", "marks")
     cut = stored(_texts_with(given, work, "doc_id long, nth int, code long, is_first boolean, bytes binary"))
     firsts = cut.where("is_first").dropDuplicates(["code"]).select("code", F.col("bytes").alias("first_bytes"))
-    return cut.where("not is_first").join(firsts, "code").where("bytes = first_bytes").select("doc_id", "nth", "code").distinct()
+    return meet(cut.where("not is_first"), firsts, "code").where("bytes = first_bytes").select("doc_id", "nth", "code").distinct()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
