@@ -90,7 +90,7 @@ def rake(cells, targets: Mapping[str, Mapping[str, float]], rounds: int = ROUNDS
     goal = {m: np.array([targets[m].get(k, 0.0) * total for k in c.categories], np.float64) for m, c in codes.items()}
     for _ in range(rounds):
         for m, c in codes.items():
-            now = np.bincount(c.codes, fitted, len(c.categories))
+            now = np.bincount(c.codes, fitted, len(c.categories)).astype(np.float64)
             fitted *= np.divide(goal[m], now, out=np.ones_like(now), where=now > 0)[c.codes]
     tokens = cells["tokens"].to_numpy(np.float64)
     cells["factor"] = np.divide(fitted, tokens, out=np.ones_like(tokens), where=tokens > 0)
