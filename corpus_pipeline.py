@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each written and read again.
 
 quality      documents that the classifier rejects (score below 0.7) go
-near_dedup   of documents linked by a similarity of 0.85 and more, one stays
+near_dedup   of documents linked by a similarity of 0.80 and more, one stays
 decontaminate  documents that hold a ten-word window of a benchmark item go
 mix          documents are drawn so that sources, languages and topics approach
              tempered shares; a class at or below its target stays whole
@@ -22,7 +22,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.one_of_each(docs)
+    return minhash.one_of_each(docs, percent=80)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

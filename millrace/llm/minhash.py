@@ -2,11 +2,13 @@
 
 A document is its set of distinct shingles of five words (A-Z folded; of fewer
 words, the whole sequence is one shingle).  Documents with equal sets form a
-class.  For every class `HALVES` half keys are computed, each from `ROWS`
-minimum hashes; table keys are all pairs of half keys, so HALVES * ROWS hashes
-serve HALVES * (HALVES - 1) / 2 tables.  Two sets of similarity s agree in a half
-key with probability s**ROWS, and are missed only if they agree in fewer than
-two: at 0.85 that is about 2 in 10,000, at 0.9 less than 1 in 100,000.
+class.  For every class n half keys are computed, each from `ROWS` minimum
+hashes; table keys are all pairs of half keys, so n * ROWS hashes serve
+n * (n - 1) / 2 tables.  Two sets of similarity s agree in a half key with
+probability s**ROWS, and are missed only if they agree in fewer than two.
+`half_count` takes as many half keys as it needs for at most `MISSED` at the
+threshold itself: 12 at 0.85 and 16 at 0.80, both about 2 in 10,000; pairs above
+the threshold are missed less (at 0.85, those of 0.9 less than 1 in 100,000).
 
 A half key that only one class has cannot be in a shared table key, so most
 classes leave before any pair of half keys is formed.  Then
@@ -46,9 +48,18 @@ from .wordcode import BASE, BY_BLANKS, Words, scramble, sequence_codes, split
 SHINGLE = 5
 HALVES = 12
 ROWS = 3
+#: share of the pairs at the threshold that may agree in fewer than two half keys
+MISSED = 2.2e-4
 BLOCK_BYTES = 1 << 20
-SEEDS = scramble(np.arange(1, 2 * HALVES * ROWS + 1, dtype=np.uint64) * BASE)
-FACTORS, SHIFTS = SEEDS[: HALVES * ROWS] | np.uint64(1), SEEDS[HALVES * ROWS :]
+
+
+def half_count(percent: int) -> int:
+    """The number of half keys, HALVES at least, that misses at most MISSED of the pairs at the threshold."""
+    p = (percent / 100) ** ROWS
+    n = HALVES
+    while p < 1 and (1 - p) ** n + n * p * (1 - p) ** (n - 1) > MISSED:
+        n += 1
+    return n
 
 
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -67,18 +78,21 @@ def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), first
 
 
-def half_keys(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """HALVES codes for each set, all sets non-empty."""
-    out = np.zeros((HALVES, len(first) - 1), np.uint64)
-    for k in range(HALVES * ROWS):
-        least = np.minimum.reduceat(codes * FACTORS[k] + SHIFTS[k], first[:-1])
+def half_keys(codes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """n codes for each set, all sets non-empty."""
+    seeds = scramble(np.arange(1, 2 * n * ROWS + 1, dtype=np.uint64) * BASE)
+    factors, shifts = seeds[: n * ROWS] | np.uint64(1), seeds[n * ROWS :]
+    out = np.zeros((n, len(first) - 1), np.uint64)
+    for k in range(n * ROWS):
+        least = np.minimum.reduceat(codes * factors[k] + shifts[k], first[:-1])
         out[k // ROWS] = out[k // ROWS] * BASE + scramble(least)
     return scramble(out).T
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n_shingles, digest, halves) of every row; digest and halves are null for empty sets."""
     prepare(docs.sparkSession)
+    n_halves = half_count(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, BLOCK_BYTES):
@@ -87,7 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             full = np.flatnonzero(sizes)
             halves: list[list[int] | None] = [None] * len(sizes)
             if len(full):
-                keys = half_keys(codes, np.concatenate([first[full], first[-1:]])).view(np.int64).tolist()
+                keys = half_keys(codes, np.concatenate([first[full], first[-1:]]), n_halves).view(np.int64).tolist()
                 for i, k in zip(full.tolist(), keys, strict=True):
                     halves[i] = k
             digests = [hashlib.blake2b(codes[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -125,7 +139,7 @@ def table_keys(classes: DataFrame) -> DataFrame:
     shared = halves.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1").select("i", "h")
     left = meet(halves, shared, ["i", "h"], "left_semi").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("halves")).where(F.size("halves") > 1)
     first = left.select("node", "n", "halves", F.posexplode("halves").alias("at", "x"))
-    second = first.select("node", "n", "x", F.explode(F.slice("halves", F.col("at") + 2, F.lit(HALVES))).alias("y"))
+    second = first.select("node", "n", "x", F.explode(F.slice("halves", F.col("at") + 2, F.size("halves"))).alias("y"))
     return second.select("node", "n", F.xxhash64("x.i", "x.h", "y.i", "y.h").alias("key"))
 
 
@@ -169,7 +183,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id linked to it, over any number of links), kept."""
-    seen = stored(signatures(docs))
+    seen = stored(signatures(docs, percent))
     # equal sets meet in one class before anything is compared
     reps = seen.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node is not null")
     own = seen.select("digest", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "halves")
