@@ -12,8 +12,8 @@ matches whose group is too short, without trying again.  Places come from the
 lengths of the pieces between matches, in code points, ends exclusive.
 
 Defined results: a null text is an empty one; blobs are shared by any number of
-paths; repeated rows of one path and text count as one version each; an empty
-table gives an empty result; further columns are ignored.
+paths; repeated rows of one path and text count as one version each; rows without
+doc_id are scanned and listed as any other; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,9 +92,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     """
     paths = versions(docs)
     todo = unseen(paths, ledger, rules)
-    text = docs.select(F.col("doc_id").cast("long").alias("reader"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # a doc_id that holds several versions reads each; the address tells which one was asked for
-    source = todo.join(text, "reader").where(F.col("blob") == F.sha2(F.col("text").cast("binary"), 256))
+    text = docs.select(F.col("doc_id").cast("long").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("address", F.sha2(F.col("text").cast("binary"), 256))
+    # a path, or the rows without one, may hold several versions; the address tells which one was asked for
+    source = todo.join(text, (F.col("blob") == F.col("address")) & F.col("reader").eqNullSafe(F.col("path")))
     wanted = lambda r: F.exists("rules", lambda x: (x["kind"] == r.kind) & (x["version"] == r.version))
     found = source.select("blob", "rules", *(F.when(wanted(r), spans(F.col("text"), r)).alias(r.kind) for r in rules))
     found = stored(found.dropDuplicates(["blob"]))
