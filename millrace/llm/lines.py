@@ -1,9 +1,12 @@
 """Removal of repeated runs of lines, found as content-defined chunks.
 
-A text's lines get codes; a rolling hash over the codes of `REACH` lines in a row
-decides after which lines a chunk ends, so chunk bounds move with their lines
-when something is put in or taken out elsewhere.  Chunks of at least two lines
-whose hash occurs more than once in the corpus are candidates.  The bytes of
+A text's lines get codes.  One hash of a line's code decides whether a chunk may
+end after it, another whether one may start at it, so a bound hangs on a line of
+either side and moves with it when something is put in or taken out elsewhere.
+Of bounds in a row every `LEAST_LINES`-th holds, and none leaves fewer lines than
+that at a text's start or end, so only whole texts can be shorter chunks; after a
+change, bounds agree again from the next lines that may not be parted.  Chunks of
+at least two lines whose hash occurs more than once in the corpus are candidates.  The bytes of
 every candidate are compared with those of its first occurrence (smallest
 doc_id, then place) and, if equal, it is removed; the first one stays.
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import blocks, meet, prepare, stored
 from .wordcode import BASE, Words, scramble
 
-REACH = 2
+#: odds against a bound before a line, and against one after it
 MEAN_LINES = 3
 LEAST_LINES = 2
 BLOCK_BYTES = 1 << 20
@@ -58,12 +61,16 @@ def chunk_spans(lines: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     codes = lines.codes()
     place = np.arange(n) - np.repeat(lines.first[:-1], lines.count)
-    rolling = np.zeros(n, np.uint64)
-    for back in range(REACH - 1, -1, -1):
-        before = np.roll(codes, back)
-        rolling = rolling * BASE + np.where(place >= back, before, np.uint64(0))
-    last = scramble(rolling) % np.uint64(MEAN_LINES) == 0
+    left = np.repeat(lines.count, lines.count) - 1 - place
+    ends, starts = scramble(codes), scramble(scramble(codes) + BASE)
+    may_end = (ends % np.uint64(MEAN_LINES) == 0) | np.roll(starts % np.uint64(MEAN_LINES) == 0, -1)
+    may_end &= (place + 1 >= LEAST_LINES) & (left >= LEAST_LINES)
+    last = np.zeros(n, bool)
     last[lines.first[1:][lines.count > 0] - 1] = True
+    before = -LEAST_LINES
+    for i in np.flatnonzero(may_end).tolist():
+        if i - before >= LEAST_LINES:
+            last[i], before = True, i
     end = np.flatnonzero(last) + 1
     start = np.concatenate([[0], end[:-1]])
     # Horner's rule over each chunk's lines, all chunks at once
