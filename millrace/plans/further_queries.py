@@ -62,12 +62,26 @@ def latest_success(spark: SparkSession, d: str) -> DataFrame:
     r as (select *, row_number() over (partition by k order by likeness desc, c) as n, lead(likeness) over (partition by k order by likeness desc, c) as next from s)
     select k, c, round(likeness, 6) as likeness from r where n = 1 and likeness >= 0.3 and (next is null or likeness - next > 0.03)""")
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """The best candidate by shared name words, if it is near enough and no other is about as near."""
-    part = read(spark, d, "part").select("p_partkey", F.array_sort(name_tokens(F.col("p_name"))).alias("w"))
-    a, b = part.where("p_partkey % 10 = 0").alias("a"), part.where("p_partkey % 10 = 1").alias("b")
+    """The best of a tenth of the parts by shared name words, if it is near enough and no other of them is about as near."""
+    return best_by_words(read(spark, d, "part"), "p_partkey % 10 = 0", "p_partkey % 10 = 1")
+
+
+@query(r"""with p as (select p_partkey, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^0-9a-z]+'), lambda x: length(x) > 0))) as w from part),
+    s as (select a.p_partkey as k, b.p_partkey as c, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) as likeness from p a, p b where a.p_partkey % 20 = 0 and a.p_partkey <> b.p_partkey and list_has_any(a.w, b.w)),
+    r as (select *, row_number() over (partition by k order by likeness desc, c) as n, lead(likeness) over (partition by k order by likeness desc, c) as next from s)
+    select k, c, round(likeness, 6) as likeness from r where n = 1 and likeness >= 0.3 and (next is null or likeness - next > 0.03)""")
+def fuzzy_match_all(spark: SparkSession, d: str) -> DataFrame:
+    """fuzzy_match of the parts with ids divisible by 20 against every other part."""
+    return best_by_words(read(spark, d, "part"), "p_partkey % 20 = 0", "true")
+
+
+def best_by_words(parts: DataFrame, queries: str, candidates: str) -> DataFrame:
+    """k, c, likeness: the best other part by shared name words, if it is near enough and no other is about as near."""
+    part = parts.select("p_partkey", F.array_sort(name_tokens(F.col("p_name"))).alias("w"))
+    a, b = part.where(queries).alias("a"), part.where(candidates).alias("b")
     # candidates share a word: an equi-join on words, not all pairs
     words = lambda x, k: x.select(F.col("p_partkey").alias(k), F.col("w").alias(f"{k}_words"), F.explode("w").alias("word"))
-    met = words(a, "k").join(words(b, "c"), "word").dropDuplicates(["k", "c"])
+    met = words(a, "k").join(words(b, "c"), "word").where("k <> c").dropDuplicates(["k", "c"])
     likeness = F.size(F.array_intersect("k_words", "c_words")) / F.size(F.array_union("k_words", "c_words"))
     rows = met.select("k", "c", likeness.alias("likeness"))
     w = Window.partitionBy("k").orderBy(F.desc("likeness"), "c")
@@ -80,8 +94,22 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     select m.p_partkey, m.metric, round(abs(m.v - q.v) * case m.metric when 'size' then 0.5::double when 'price' then 0.3::double else 0.2::double end, 6) as delta from m join q using (metric) where m.p_partkey <> 1
     qualify row_number() over (partition by m.p_partkey order by abs(m.v - q.v) * case m.metric when 'size' then 0.5::double when 'price' then 0.3::double else 0.2::double end desc, m.metric) <= 2""")
 def similarity_explanation(spark: SparkSession, d: str) -> DataFrame:
-    """The two largest weighted feature differences of each candidate to one subject."""
-    part = read(spark, d, "part").where("p_partkey <= 200").select("p_partkey", (F.col("p_size") / 50.0).alias("size"), (F.col("p_retailprice") / 2000.0).alias("price"), ((F.col("p_partkey") % 97) / 97.0).alias("key"))
+    """The two largest weighted feature differences of each of the first 200 parts to one subject."""
+    return explained(read(spark, d, "part").where("p_partkey <= 200"))
+
+
+@query("""with m as (select p_partkey, unnest(['size', 'price', 'key']) as metric, unnest([p_size / 50.0::double, p_retailprice / 2000.0::double, (p_partkey % 97) / 97.0::double]) as v from part),
+    q as (select * from m where p_partkey = 1)
+    select m.p_partkey, m.metric, round(abs(m.v - q.v) * case m.metric when 'size' then 0.5::double when 'price' then 0.3::double else 0.2::double end, 6) as delta from m join q using (metric) where m.p_partkey <> 1
+    qualify row_number() over (partition by m.p_partkey order by abs(m.v - q.v) * case m.metric when 'size' then 0.5::double when 'price' then 0.3::double else 0.2::double end desc, m.metric) <= 2""")
+def similarity_explanation_all(spark: SparkSession, d: str) -> DataFrame:
+    """similarity_explanation over all parts."""
+    return explained(read(spark, d, "part"))
+
+
+def explained(parts: DataFrame) -> DataFrame:
+    """p_partkey, metric, delta: the two largest weighted feature differences of each part to part 1."""
+    part = parts.select("p_partkey", (F.col("p_size") / 50.0).alias("size"), (F.col("p_retailprice") / 2000.0).alias("price"), ((F.col("p_partkey") % 97) / 97.0).alias("key"))
     long = unpivot(part, ["p_partkey"], ["size", "price", "key"])
     subject = long.where("p_partkey = 1").select("metric", F.col("value").alias("own"))  # three rows
     weight = F.when(F.col("metric") == "size", 0.5).when(F.col("metric") == "price", 0.3).otherwise(0.2)

@@ -32,11 +32,22 @@ def article_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select a.doc_id, b.doc_id as related from documents a join documents b on a.source = b.source and a.lang = b.lang and a.doc_id <> b.doc_id where a.doc_id % 100 = 0 qualify row_number() over (partition by a.doc_id order by abs(a.n_chars - b.n_chars), b.doc_id) <= 3""")
 def related_articles(spark: SparkSession, d: str) -> DataFrame:
-    """The three documents of the same source and language nearest in length to each chosen one, itself left out."""
+    """The related documents of those with ids divisible by 100."""
+    return related(read(spark, d, "documents"), "doc_id % 100 = 0")
+
+
+@query("""select a.doc_id, b.doc_id as related from documents a join documents b on a.source = b.source and a.lang = b.lang and a.doc_id <> b.doc_id where a.doc_id % 20 = 0 qualify row_number() over (partition by a.doc_id order by abs(a.n_chars - b.n_chars), b.doc_id) <= 3""")
+def related_articles_all(spark: SparkSession, d: str) -> DataFrame:
+    """The related documents of all in the query set for searches, ids divisible by 20."""
+    return related(read(spark, d, "documents"), "doc_id % 20 = 0")
+
+
+def related(documents: DataFrame, queries: str) -> DataFrame:
+    """doc_id, related: the three documents of the same source and language nearest in length to each chosen one, itself left out."""
     from pyspark.sql import Window
 
-    docs = read(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
-    a, b = docs.where("doc_id % 100 = 0").alias("a"), docs.alias("b")
+    docs = documents.select("doc_id", "source", "lang", "n_chars")
+    a, b = docs.where(queries).alias("a"), docs.alias("b")
     met = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.doc_id") != F.col("b.doc_id")))
     rows = met.select(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("related"), F.abs(F.col("a.n_chars") - F.col("b.n_chars")).alias("gap"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("gap", "related"))).where("n <= 3").select("doc_id", "related")
