@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
+import shutil
 import tempfile
-import time
 import uuid
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -16,16 +16,26 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+PACKAGE = Path(__file__).resolve().parents[1]
+#: Spark then deletes the shuffle files of a job's plan as soon as the job has ended
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MADE: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place the driver has it at."""
-    known = spark.sparkContext.environment
-    have = known.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        known["PYTHONPATH"] = os.pathsep.join(x for x in (have, ROOT) if x)
+    """Ship this package to the Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    made = tempfile.mkdtemp(prefix="millrace-")  # on the driver, whose file server hands it to all executors
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    path = f"{made}/{PACKAGE.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, f.relative_to(PACKAGE.parent))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Only a session without that setting (tests) gets a local folder.
+    Only a local session without that setting (tests) gets a local folder; on a
+    cluster its absence is an error, as other machines could not read such a folder.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/millrace/{uuid.uuid4().hex}"
@@ -55,22 +68,28 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 
 
 def _sweep() -> None:
+    """Delete what is left at the end; a folder whose session has ended stays, the others still go."""
     for spark, path in _MADE:
         try:
             drop_dir(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            return
+        except Exception:  # noqa: BLE001
+            continue
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: what follows reads files, so a lost executor costs
-    a reread and not the work before.
+    a reread and not the work before.  The shuffle files of the write go with it.
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,18 +104,10 @@ def meet(many: DataFrame, one: DataFrame, on: str | list[str], how: str = "inner
 
 
 def release(spark: SparkSession, *finished: DataFrame) -> None:
-    """Give back the disk of finished steps.
-
-    Tables that stored() wrote and nothing needs any more are deleted; shuffle
-    files go once the plans that made them have been collected on both sides.
-    """
+    """Delete tables that stored() wrote and nothing needs any more."""
     for df in finished:
         for path in {os.path.dirname(f) for f in df.inputFiles()}:
             drop_dir(spark, path)
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
 
 
 def uniform(key: Column, seed: str) -> Column:
