@@ -32,9 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, uniform
+from .common import blocks, prepare, uniform
 
 BLOCK = 1024
+BLOCK_BYTES = 4 << 20
 SAMPLE_BLOCK = 256
 LEVEL = 3
 SCORED = "doc_id long, n_bytes long, difference double, share double, score double"
@@ -172,6 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class
     return Model(good, bad, usual_share=float(np.average(x[:, 2], weights=weight)), **_curve(x, y, weight))
 
 
+def _measured(sizes: Sizes, texts: pa.Array, usual_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Difference and share of every text."""
+    both = np.array([sizes.compare(t.as_py() or b"", usual_share) for t in texts.cast(pa.binary())], np.float64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 def _scored(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     """__id, __bytes, __difference, __share, __score, and column i of `keep` as __k<i>: no name can clash."""
     prepare(docs.sparkSession)
@@ -181,11 +188,10 @@ def _scored(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model.good, model.bad)
-        for batch in batches:
-            raw = batch.column("__text").cast(pa.binary())
-            both = np.array([sizes.compare(t.as_py() or b"", model.usual_share) for t in raw], np.float64).reshape(-1, 2)
-            difference, share = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
-            n_bytes = pc.fill_null(pc.binary_length(raw), 0).cast(pa.int64())
+        for batch in blocks(batches, BLOCK_BYTES, "__text"):
+            texts = batch.column("__text")
+            difference, share = _measured(sizes, texts, model.usual_share)
+            n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("__id"), n_bytes, pa.array(difference), pa.array(share), pa.array(model.probability(difference, share)), *batch.columns[2:]], names)
 
     given = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keep)))
@@ -204,6 +210,20 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs` that score at least `threshold`, with their columns as they were."""
+    """The rows of `docs` that score at least `threshold`, with their columns as they were.
+
+    Each row goes to Python once and comes back only if it stays.
+    """
+    prepare(docs.sparkSession)
     names = docs.columns
-    return _scored(docs, model, tuple(names)).where(F.col("__score") >= threshold).select(*(F.col(f"__k{i}").alias(n) for i, n in enumerate(names)))
+    at = names.index("text")
+    columns = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(names)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(model.good, model.bad)
+        for batch in blocks(batches, BLOCK_BYTES, f"__k{at}"):
+            good = model.probability(*_measured(sizes, batch.column(at), model.usual_share)) >= threshold
+            yield batch.filter(pa.array(good))
+
+    given = docs.select(*columns)
+    return given.mapInArrow(run, given.schema).select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(names)))
