@@ -9,15 +9,19 @@ are never looked at; where that distance is 0, the pair's bucket gives the
 windows that end in it, which are compared code by code and then byte by byte.
 Many stretches of text advance at once, one numpy step each.
 
-The benchmark goes to every task in slices of at most `slice_bytes` of text, one
-pass over the documents for each, so what is handed out is bounded whatever the
-size of the benchmark.
+The benchmark goes to every task in slices of at most `slice_bytes` of text and
+one item.  Most benchmarks are one slice and one pass over the documents.  Of a
+larger one, every slice but the first is searched and taken back from the tasks
+before the next is handed out; only rows with hits are kept of those passes, by
+doc_id and digest of their text, and joined to the pass of the first slice.  So
+what is handed out at a time is bounded whatever the size of the benchmark.
 
 Defined results: null or wordless texts have no words and no hits; null or
 wordless items have no windows; items that share an item_id count as one; a null
-item_id can cause hits but is not counted; every document row gives one row; an
-empty table gives an empty result; further columns are ignored (`search`) or
-kept (`clean`).
+item_id can cause hits but is not counted; every document row gives one row,
+rows without doc_id and repeated rows included; texts of any length are searched
+whole; an empty table gives an empty result; further columns are ignored
+(`search`) or kept (`clean`).
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, prepare
+from .common import blocks, prepare, stored
 from .wordcode import ALNUM, BASE, Words, scramble, sequence_codes, split
 
 WINDOW = 10
@@ -124,78 +129,121 @@ def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str |
         yield held
 
 
-STATE = "n_words long, span_starts array<int>, span_ends array<int>, item_ids array<string>"
+def _occurrences(words: Words, groups: list[Group]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]]]:
+    """Hit stretches of all texts (first word, end word, bounds of each text's in those), and item_ids by text."""
+    codes, hit = words.codes(), np.zeros(len(words.start) + 1, np.int64)
+    named: dict[int, set[str]] = {}
+    text_of = words.text_of()
+    for group in groups:
+        starts, found = group.find(words, codes)
+        np.add.at(hit, starts, 1)
+        np.add.at(hit, starts + group.length, -1)
+        for t, p in set(zip(text_of[starts].tolist(), found.tolist(), strict=True)):
+            named.setdefault(t, set()).update(group.items[p])
+    inside = np.concatenate([[False], np.cumsum(hit)[:-1] > 0, [False]])
+    bounds = np.zeros(len(inside), bool)
+    bounds[words.first] = True  # stretches end with their text
+    begin = np.flatnonzero(inside[1:-1] & (~inside[:-2] | bounds[:-2]))
+    end = np.flatnonzero(inside[1:-1] & (~inside[2:] | bounds[1:-1])) + 1
+    return begin, end, np.searchsorted(begin, words.first), named
 
 
-def _pass(given: DataFrame, groups: list[Group], keep: list[str]) -> DataFrame:
-    """One search over all rows of `given` (__text, keep..., and the state of passes before)."""
-    spark = given.sparkSession
-    handed = spark.sparkContext.broadcast(groups)  # one slice: bounded by slice_bytes
-    types = {f.name: f.dataType.simpleString() for f in given.schema.fields}
-    schema = ", ".join(["__text string", *(f"`{k}` {types[k]}" for k in keep), STATE])
+FOUND = "n_words long, span_starts array<int>, span_ends array<int>, item_ids array<string>"
+KEY = ("__id", "__digest")
+
+
+def _pass(given: DataFrame, handed: Broadcast) -> DataFrame:
+    """__id, __digest and FOUND of every row of `given` (__id, __digest, __text) for one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = handed.value
         for batch in blocks(batches, BLOCK_BYTES, "__text"):
             words = split(batch.column("__text"), ALNUM, True)
-            codes, hit = words.codes(), np.zeros(len(words.start) + 1, np.int64)
-            named: dict[int, set[str]] = {}
-            text_of = words.text_of()
-            for i, (starts, ends, items) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("span_starts", "span_ends", "item_ids")), strict=True)):
-                for a, b in zip(starts, ends, strict=True):
-                    hit[words.first[i] + a] += 1
-                    hit[words.first[i] + b] -= 1
-                if items:
-                    named[i] = set(items)
-            for group in patterns:
-                starts, found = group.find(words, codes)
-                np.add.at(hit, starts, 1)
-                np.add.at(hit, starts + group.length, -1)
-                for t, p in set(zip(text_of[starts].tolist(), found.tolist(), strict=True)):
-                    named.setdefault(t, set()).update(group.items[p])
-            inside = np.concatenate([[False], np.cumsum(hit)[:-1] > 0, [False]])
-            bounds = np.zeros(len(inside), bool)
-            bounds[words.first] = True  # spans end with their text
-            begin = np.flatnonzero(inside[1:-1] & (~inside[:-2] | bounds[:-2]))
-            end = np.flatnonzero(inside[1:-1] & (~inside[2:] | bounds[1:-1])) + 1
-            at = np.searchsorted(begin, words.first)
-            owner = np.repeat(words.first[:-1], np.diff(at))
-            lists = pa.array(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("__text"),
-                    *(batch.column(k) for k in keep),
-                    pa.array(words.count),
-                    pa.ListArray.from_arrays(lists, pa.array((begin - owner).astype(np.int32))),
-                    pa.ListArray.from_arrays(lists, pa.array((end - owner).astype(np.int32))),
-                    pa.array([sorted(named.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string())),
-                ],
-                ["__text", *keep, "n_words", "span_starts", "span_ends", "item_ids"],
-            )
-
-    return given.mapInArrow(run, schema)
-
-
-def _searched(docs: DataFrame, benchmark: DataFrame, keep: list[tuple[str, str]], window: int, slice_bytes: int) -> DataFrame:
-    prepare(docs.sparkSession)
-    none = F.array().cast("array<int>")
-    names = [k for k, _ in keep]
-    state = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`").alias(k) for k, c in keep), F.lit(0).cast("long").alias("n_words"), none.alias("span_starts"), none.alias("span_ends"), F.array().cast("array<string>").alias("item_ids"))
-    searched = False
-    for part in _slices(benchmark, slice_bytes):
-        state, searched = _pass(state, compile_items(part, window), names), True
-    return state if searched else _pass(state, [], names)
+            begin, end, at, named = _occurrences(words, handed.value)
+            owner, lists = np.repeat(words.first[:-1], np.diff(at)), pa.array(at.astype(np.int32))
+            spans = [pa.ListArray.from_arrays(lists, pa.array((x - owner).astype(np.int32))) for x in (begin, end)]
+            items = pa.array([sorted(named.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(words.count), *spans, items], [*KEY, "n_words", "span_starts", "span_ends", "item_ids"])
+
+    return given.mapInArrow(run, "__id long, __digest string, " + FOUND)
+
+
+def _keyed(docs: DataFrame, several: bool) -> list[Column]:
+    """doc_id and, where passes must be joined, a digest of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.col("doc_id").cast("long").alias("__id"), (F.sha2(text.cast("binary"), 256) if several else F.lit("")).alias("__digest")]
+
+
+def _handed(docs: DataFrame, benchmark: DataFrame, window: int, slice_bytes: int) -> tuple[Broadcast, DataFrame | None]:
+    """The first slice, handed out, and the rows with hits of all others (__id, __digest, FOUND), None if there are none."""
+    spark = docs.sparkSession
+    prepare(spark)
+    parts = _slices(benchmark, slice_bytes)
+    first = compile_items(next(parts, []), window)
+    more: DataFrame | None = None
+    for part in parts:
+        handed = spark.sparkContext.broadcast(compile_items(part, window))
+        given = docs.select(*_keyed(docs, True), F.col("text").cast("string").alias("__text"))
+        hits = stored(_pass(given, handed).where(F.size("span_starts") > 0).dropDuplicates([*KEY]))
+        handed.destroy()
+        more = hits if more is None else more.unionByName(hits)
+    return spark.sparkContext.broadcast(first), more
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row for each key of (__id, __digest, found: list of FOUND), with stretches and items united."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends, items, n_words = [], [], [], []
+            for found in batch.column("found").to_pylist():
+                n_words.append(found[0]["n_words"])
+                hit = np.zeros(n_words[-1] + 2, np.int64)
+                for f in found:
+                    np.add.at(hit, np.array(f["span_starts"], np.int64) + 1, 1)
+                    np.add.at(hit, np.array(f["span_ends"], np.int64) + 1, -1)
+                edge = np.diff((np.cumsum(hit) > 0).astype(np.int8))
+                starts.append(np.flatnonzero(edge == 1).tolist())
+                ends.append(np.flatnonzero(edge == -1).tolist())
+                items.append(sorted({i for f in found for i in f["item_ids"]}))
+            spans = [pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(n_words, pa.int64()), *spans, pa.array(items, pa.list_(pa.string()))], [*KEY, "n_words", "span_starts", "span_ends", "item_ids"])
+
+    return rows.mapInArrow(run, "__id long, __digest string, " + FOUND)
+
+
+def _same_key(a: DataFrame, b: DataFrame) -> Column:
+    return a["__id"].eqNullSafe(b["__id"]) & (a["__digest"] == b["__digest"])
 
 
 def search(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slice_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, item_ids (sorted as strings), span_starts and span_ends (words, ends exclusive)."""
-    found = _searched(docs, benchmark, [("__id", "doc_id")], window, slice_bytes)
+    first, more = _handed(docs, benchmark, window, slice_bytes)
+    found = _pass(docs.select(*_keyed(docs, more is not None), F.col("text").cast("string").alias("__text")), first)
+    if more is not None:
+        found = stored(found)
+        state = F.struct("n_words", "span_starts", "span_ends", "item_ids")
+        hits = more.unionByName(found.where(F.size("span_starts") > 0).dropDuplicates([*KEY])).groupBy(*KEY).agg(F.collect_list(state).alias("found"))  # a list of one for each slice at most
+        hits = stored(_merged(hits)).withColumnsRenamed({c: f"h_{c}" for c in ("n_words", "span_starts", "span_ends", "item_ids")})
+        joined = found.join(hits.hint("merge"), _same_key(found, hits), "left")
+        found = joined.select(found["__id"], "n_words", *(F.coalesce(f"h_{c}", c).alias(c) for c in ("span_starts", "span_ends", "item_ids")))
     hits = F.aggregate(F.zip_with("span_ends", "span_starts", lambda b, a: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-    return found.select(F.col("__id").cast("long").alias("doc_id"), "n_words", hits.alias("n_hit"), "item_ids", "span_starts", "span_ends")
+    return found.select(F.col("__id").alias("doc_id"), "n_words", hits.alias("n_hit"), "item_ids", "span_starts", "span_ends")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slice_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of `docs` without any hit, with their columns as they were."""
-    named = [(f"__k{i}", c) for i, c in enumerate(docs.columns)]
-    found = _searched(docs, benchmark, named, window, slice_bytes).where(F.size("span_starts") == 0)
-    return found.select(*(F.col(k).alias(c) for k, c in named))
+    """The rows of `docs` without any hit, with their columns as they were; each goes to Python once."""
+    first, more = _handed(docs, benchmark, window, slice_bytes)
+    names = docs.columns
+    columns = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(names)]
+    given = docs.select(*columns)
+    if more is not None:
+        keyed = docs.select(*_keyed(docs, True), *columns)
+        given = keyed.join(more, _same_key(keyed, more), "left_anti").drop(*KEY)
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, BLOCK_BYTES, f"__k{at}"):
+            _, _, stretches, _ = _occurrences(split(batch.column(at), ALNUM, True), first.value)
+            yield batch.filter(pa.array(np.diff(stretches) == 0))
+
+    return given.mapInArrow(run, given.schema).select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(names)))
