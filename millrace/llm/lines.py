@@ -5,7 +5,8 @@ end after it, another whether one may start at it, so a bound hangs on a line of
 either side and moves with it when something is put in or taken out elsewhere.
 Of bounds in a row every `LEAST_LINES`-th holds, and none leaves fewer lines than
 that at a text's start or end, so only whole texts can be shorter chunks; after a
-change, bounds agree again from the next lines that may not be parted.  Chunks of
+change, bounds agree again from the next lines that may not be parted.  A stretch
+without bounds is parted after every `MOST_LINES` lines.  Chunks of
 at least two lines whose hash occurs more than once in the corpus are candidates.  The bytes of
 every candidate are compared with those of its first occurrence (smallest
 doc_id, then place) and, if equal, it is removed; the first one stays.
@@ -14,7 +15,7 @@ Texts meet their marks in merge joins whatever the size of either, so the plan i
 the same for a small corpus as for a large one.  Hash groups are reduced to their first occurrence by partial sums before any
 shuffle; the candidates then meet that one row, in joins that split hot keys.
 
-Defined results: a null text stays null and has no lines; an empty text has one
+Defined results: texts and lines of any length are taken whole; a null text stays null and has no lines; an empty text has one
 empty line; rows without doc_id stay as they are; rows of one doc_id stand at
 the same place, so they never remove each other's chunks; chunks of equal hash
 and different bytes are kept; an empty table gives an empty result; further
@@ -36,6 +37,7 @@ from .wordcode import BASE, Words, scramble
 #: odds against a bound before a line, and against one after it
 MEAN_LINES = 3
 LEAST_LINES = 2
+MOST_LINES = 64
 BLOCK_BYTES = 1 << 20
 
 
@@ -73,13 +75,15 @@ def chunk_spans(lines: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             last[i], before = True, i
     end = np.flatnonzero(last) + 1
     start = np.concatenate([[0], end[:-1]])
-    # Horner's rule over each chunk's lines, all chunks at once
-    length = end - start
-    code = length.astype(np.uint64)
-    for k in range(int(length.max())):
-        live = length > k
-        code[live] = code[live] * BASE + codes[start[live] + k]
-    return start, end, scramble(code)
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        if b - a > MOST_LINES:
+            last[a + MOST_LINES - 1 : b - LEAST_LINES : MOST_LINES] = True
+    end = np.flatnonzero(last) + 1
+    start = np.concatenate([[0], end[:-1]])
+    # a line's part in its chunk's code hangs on its place there
+    at = np.arange(n) - np.repeat(start, end - start)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scramble(codes + scramble(at.astype(np.uint64) * BASE + BASE)))])
+    return start, end, scramble(total[end] - total[start] + (end - start).astype(np.uint64))
 
 
 def _texts_with(given: DataFrame, work, schema: str) -> DataFrame:

@@ -7,7 +7,10 @@ any two places of equal passages some shift below PERIOD brings both to cover
 places, and since ANCHOR + PERIOD - 1 = WINDOW, the anchor there lies inside
 both passages.  Hence a passage that occurs twice contains an anchor that occurs
 twice.  From each repeated anchor the search extends to the full windows around
-it, and only those are hashed (twice 64 bits) and compared across the corpus.
+it, and only those are compared across the corpus, by BLAKE2b digests of 128
+bits over the bytes of their words.  Anchor codes only propose windows, so their
+collisions cost work and change no result; two windows of different words with
+one digest are as good as impossible, also on purpose.
 
 A window goes if the same words start earlier: at a smaller doc_id, or earlier
 in the same document.  Windows are judged on the input, not on what is left.
@@ -18,7 +21,8 @@ block of documents are settled there, only a block's first goes on; anchors and
 windows are reduced by partial sums before shuffles; the joins back are plain
 ones that split hot keys.
 
-Defined results: null, empty and short texts have no windows; kept words are
+Defined results: null, empty and short texts have no windows; texts of any length
+are searched whole; kept words are
 joined by one blank, a null text gives an empty one; rows of one doc_id do not
 outrank each other at equal places; rows without doc_id are not searched; an
 empty table gives an empty result; further columns are ignored.
@@ -26,6 +30,7 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, meet, prepare, release, stored
-from .wordcode import BASE, BY_BLANKS, codes_at, scramble, split
+from .wordcode import BY_BLANKS, Words, codes_at, split
 
 WINDOW = 20
 PERIOD = 7
@@ -42,7 +47,6 @@ COVER = (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK_BYTES = 1 << 20
 WIDE_BYTES = 8 << 20
-OTHER = scramble(BASE + np.arange(1, 2, dtype=np.uint64))[0] | np.uint64(1)
 _AT_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -94,9 +98,19 @@ def copies(keyed: DataFrame) -> DataFrame:
     return meet(rows, first, "sha").where("doc_id > first").select("doc_id", "tag").distinct()
 
 
+def window_digests(words: Words, start: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of a digest of the WINDOW words from each start on."""
+    joined, at = words.joined()
+    view = memoryview(joined)
+    made = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at[start].tolist(), at[start + WINDOW].tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+
+
 def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, g, doc_id, tag, start, leads): windows around repeated anchors; leads: the first of its words in its block.
 
+    h and g are the halves of the window's digest.
+
     wanted: doc_id, tag and the codes of repeated anchors.
     """
 
@@ -115,7 +129,7 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 np.add.at(edge, np.maximum(at - PERIOD + 1, 0), 1)
                 np.add.at(edge, at + 1, -1)
                 start = np.flatnonzero(np.cumsum(edge)[: max(0, n - WINDOW + 1)] > 0)
-                found.append((codes_at(code, start, WINDOW), codes_at(code, start, WINDOW, OTHER), np.full(len(start), i), start))
+                found.append((*window_digests(words, start).T, np.full(len(start), i), start))
             h, g, row, start = (np.concatenate(x) for x in zip(*found, strict=True))
             ids = batch.column("doc_id").to_numpy()[row]
             order = np.lexsort((start, ids, g, h))
@@ -126,7 +140,7 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             leads[a] = ~same | ((ids[a] == ids[b]) & (start[a] == start[b]))
             for k in np.flatnonzero(same & leads[a]):  # such a row leads only if the one before it does
                 leads[a[k]] = leads[b[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(ids), batch.column("tag").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(leads)], ["h", "g", "doc_id", "tag", "start", "leads"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(ids), batch.column("tag").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(leads)], ["h", "g", "doc_id", "tag", "start", "leads"])
 
     return _keyed(docs).join(wanted.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "codes").mapInArrow(run, "h long, g long, doc_id long, tag long, start int, leads boolean")
 
@@ -146,7 +160,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     whole = stored(copies(keyed))
     marked = stored(repeated_anchors(keyed))
-    release(spark)
     wanted = keyed.select("doc_id", "tag").distinct().join(whole, ["doc_id", "tag"], "left_anti").join(marked, "doc_id")
     found = stored(windows(docs, wanted))
     release(spark, marked)

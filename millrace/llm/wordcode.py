@@ -2,10 +2,12 @@
 
 A block of texts is one byte array.  Words are maximal runs of word bytes; both
 word rules in use here split at ASCII characters only, so they can be decided
-byte by byte in UTF-8.  A word's code is a polynomial over its bytes modulo
-2**64, read off running sums, and scrambled; codes of word sequences are built
-from word codes in the same way.  Equal words always have equal codes; where
-different words must never count as equal, the caller compares the bytes too.
+byte by byte in UTF-8.  A word's code is the sum of one random number for each
+(place in the word, byte), scrambled with its length: words that differ meet in
+one code with probability 2**-64, whatever their form or length.  Codes of word
+sequences weigh each place with a random odd number of its own.  Equal words
+always have equal codes; where different words must never count as equal, the
+caller compares them as well, by `ids` or by their bytes.
 """
 
 from __future__ import annotations
@@ -42,22 +44,20 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: random numbers for the first places of a word; those of later places come from scramble()
+PLACES = 64
+_NUMBERS = np.random.default_rng(0x5EED).integers(0, 1 << 64, PLACES * 256, dtype=np.uint64)
 
 
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, up to n."""
-    if len(_TABLES.get("up", ())) <= n:
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        size = max(n, 1 << 20)
-        _TABLES["up"], _TABLES["down"] = _powers(BASE, size), _powers(inverse, size)
-    return _TABLES["up"], _TABLES["down"]
+def _byte_codes(place: np.ndarray, data: np.ndarray) -> np.ndarray:
+    at = place * 256 + data
+    near = at < len(_NUMBERS)
+    if near.all():
+        return _NUMBERS[at]
+    out = _NUMBERS[np.where(near, at, 0)]
+    far = np.flatnonzero(~near)
+    out[far] = scramble(scramble(at[far].astype(np.uint64) * BASE))
+    return out
 
 
 @dataclass
@@ -77,13 +77,35 @@ class Words:
         """The number of the text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
+    def _bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all words in a row, bounds of each word's, place of each byte in its word)."""
+        length = self.end - self.start
+        bounds = np.concatenate([[0], np.cumsum(length)])
+        place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], length)
+        return self.data[place + np.repeat(self.start, length)], bounds, place
+
     def codes(self) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        up, down = _power_tables(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-        return scramble((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        data, bounds, place = self._bytes()
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_byte_codes(place, data), out=total[1:])
+        return scramble(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * BASE)
+
+    def ids(self) -> np.ndarray:
+        """A number for each word, the same for words of equal bytes and no others."""
+        data, bounds, _ = self._bytes()
+        held = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        return held.dictionary_encode().indices.to_numpy()
+
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """(all words with one blank behind each, place of each word's first byte in that)."""
+        length = self.end - self.start
+        start = np.concatenate([[0], np.cumsum(length + 1)])
+        out = np.full(start[-1], 0x20, np.uint8)
+        data, _, place = self._bytes()
+        out[place + np.repeat(start[:-1], length)] = data
+        return out.tobytes(), start
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -113,20 +135,18 @@ def split(texts: pa.Array, is_word: np.ndarray, lower: bool) -> Words:
     return Words(data, start, end, np.searchsorted(start, edge))
 
 
+def _factors(n: int) -> np.ndarray:
+    return scramble(np.arange(1, n + 1, dtype=np.uint64) * BASE) | np.uint64(1)
+
+
 def sequence_codes(codes: np.ndarray, n: int) -> np.ndarray:
     """A code for each n codes in a row, at the place of the first; text bounds are the caller's matter."""
-    if len(codes) < n:
-        return np.zeros(0, np.uint64)
-    m = len(codes) - n + 1
-    out = np.zeros(m, np.uint64)
-    for k in range(n):
-        out = out * BASE + codes[k : k + m]
-    return scramble(out)
+    return codes_at(codes, np.arange(max(0, len(codes) - n + 1)), n)
 
 
-def codes_at(codes: np.ndarray, starts: np.ndarray, n: int, base: np.uint64 = BASE) -> np.ndarray:
-    """sequence_codes() at chosen starts only; another base gives independent codes."""
+def codes_at(codes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """sequence_codes() at chosen starts only."""
     out = np.zeros(len(starts), np.uint64)
-    for k in range(n):
-        out = out * base + codes[starts + k]
+    for k, factor in enumerate(_factors(n)):
+        out += codes[starts + k] * factor
     return scramble(out)
