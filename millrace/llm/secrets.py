@@ -1,27 +1,33 @@
 """Secret scans over versions of texts, with a ledger of what has been scanned.
 
 Every version of a path (here: the text of a document) is stored under its
-content address, the SHA-256 of its bytes.  A ledger names the pairs of blob and
-rule version that have been scanned.  A run scans, for each rule, only blobs
-that the ledger does not pair with the rule's version, one text per blob, and
-joins the findings back to all paths that hold the blob.  Everything on this
-path is DataFrame operations.
+content address, the SHA-256 of its bytes.  A ledger is a folder of two tables,
+the pairs of blob and rule version that have been scanned, and the findings.  A
+run (`update`) scans, for each rule, only blobs that the ledger does not pair
+with the rule's version, one text per blob, and appends to both tables; `report`
+joins the findings of the rules' versions back to all paths that hold the blob.
+Everything on this path is DataFrame operations.
 
 A rule's base pattern gives leftmost non-overlapping matches; `least` then drops
-matches whose group is too short, without trying again.  Places come from the
-lengths of the pieces between matches, in code points, ends exclusive.
-
-Defined results: a null text is an empty one; blobs are shared by any number of
-paths; repeated rows of one path and text count as one version each; rows without
-doc_id are scanned and listed as any other; an empty table gives an empty result; further columns are ignored.
+matches whose group is too short, without trying again.  Places come from running
+sums over the lengths of the pieces between matches, in code points, ends
+exclusive; neither they nor the ledger hold any part of a text.
+
+Defined results: a null text is an empty one; texts of any length and number of
+matches are scanned whole, in time in proportion to both; blobs are shared by any
+number of paths; repeated rows of one path and text count as one version each;
+rows without doc_id are scanned and listed as any other; an empty table gives an
+empty result; further columns are ignored.  A run that ends between its two
+appends leaves pairs unlisted: they are scanned again and reported once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored
 
@@ -43,28 +49,26 @@ RULES = (
     # every hex run is a base match; shorter ones would be dropped, and none can start inside another
     Rule("hex", 1, r"([0-9a-f]{24,}+)", 1, 24),
 )
-FINDING = "array<struct<start:int,end:int,value:string>>"
+FINDING = "array<struct<start:int,end:int>>"
+PAIRS, FINDINGS = "blob string, kind string, version int", f"blob string, kind string, version int, spans {FINDING}"
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end, value>> of a rule's findings in a text."""
+def pieces(text: Column, rule: Rule) -> Column:
+    """array<struct<gap, hit, long>> of a rule's matches in a text: lengths of what precedes a match and of itself, and whether it counts."""
     matches, groups = F.regexp_extract_all(text, F.lit(rule.pattern), 0), F.regexp_extract_all(text, F.lit(rule.pattern), rule.group)
-    between = F.split(text, rule.pattern, -1)
-    every = F.aggregate(
-        F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit"), groups.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(FINDING).alias("found")),
-        lambda state, x: F.struct(
-            (state["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.when(
-                F.length(x["value"]) >= rule.least,
-                F.concat(state["found"], F.array(F.struct((state["at"] + F.length(x["gap"])).alias("start"), (state["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["value"].alias("value")))),
-            )
-            .otherwise(state["found"])
-            .alias("found"),
-        ),
-        lambda state: state["found"],
-    )
-    return F.when(text.rlike(rule.pattern), every).otherwise(F.array().cast(FINDING))
+    between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches))
+    every = F.transform(F.arrays_zip(between.alias("gap"), matches.alias("hit"), groups.alias("value")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), (F.length(x["value"]) >= rule.least).alias("long")))
+    return F.when(text.rlike(rule.pattern), every).otherwise(F.array().cast("array<struct<gap:int,hit:int,long:boolean>>"))
+
+
+def placed(cut: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, one column of FINDING for each rule) of the blobs with matches; cut: blob and pieces() by rule."""
+    every = cut.select("blob", F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.col(r.kind).alias("pieces")) for r in rules))).alias("x")).where(F.size("x.pieces") > 0)
+    each = every.select("blob", "x.kind", F.posexplode("x.pieces").alias("nth", "piece"))
+    so_far = Window.partitionBy("blob", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = each.withColumn("end", F.sum(F.col("piece.gap") + F.col("piece.hit")).over(so_far).cast("int")).where("piece.long")
+    span = F.struct((F.col("end") - F.col("piece.hit")).alias("start"), "end")
+    return ends.groupBy("blob").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == r.kind, span))).alias(r.kind) for r in rules))
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -96,12 +100,40 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     # a path, or the rows without one, may hold several versions; the address tells which one was asked for
     source = todo.join(text, (F.col("blob") == F.col("address")) & F.col("reader").eqNullSafe(F.col("path")))
     wanted = lambda r: F.exists("rules", lambda x: (x["kind"] == r.kind) & (x["version"] == r.version))
-    found = source.select("blob", "rules", *(F.when(wanted(r), spans(F.col("text"), r)).alias(r.kind) for r in rules))
-    found = stored(found.dropDuplicates(["blob"]))
+    cut = stored(source.select("blob", "rules", *(F.when(wanted(r), pieces(F.col("text"), r)).alias(r.kind) for r in rules)).dropDuplicates(["blob"]))
+    some = placed(cut, rules).withColumnsRenamed({r.kind: f"found_{r.kind}" for r in rules})
+    none = F.array().cast(FINDING)
+    found = cut.join(some, "blob", "left").select("blob", "rules", *(F.when(wanted(r), F.coalesce(f"found_{r.kind}", none)).alias(r.kind) for r in rules))
+    found = stored(found)
     entries = found.select("blob", F.explode("rules").alias("r")).select("blob", "r.kind", "r.version")
     return paths, found.drop("rules"), entries
 
 
+def update(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> int:
+    """Scan what the ledger (a folder) has not seen, append to it, and return the number of pairs scanned."""
+    spark = docs.sparkSession
+    known = _read(spark, f"{ledger}/pairs", PAIRS)
+    _, found, entries = scan(docs, known, rules)
+    each = F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules))).alias("x")
+    found.select("blob", each).select("blob", "x.*").where(F.size("spans") > 0).write.mode("append").parquet(f"{ledger}/findings")
+    entries.write.mode("append").parquet(f"{ledger}/pairs")
+    return entries.count()
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def report(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every path with the ledger's findings in its blob under the versions of `rules`."""
+    rows = _read(docs.sparkSession, f"{ledger}/findings", FINDINGS)
+    # one row for each blob, kind and version, or equal ones: whichever is taken is the same
+    of_rule = lambda r: F.max(F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.col("spans")))
+    return by_path(versions(docs), rows.groupBy("blob").agg(*(of_rule(r).alias(r.kind) for r in rules)), rules)
+
+
 def by_path(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every path with the findings in its blob; blobs without any stay out of the join."""
     some = findings.where(sum((F.size(F.coalesce(F.col(r.kind), F.array().cast(FINDING))) for r in rules[1:]), F.size(F.coalesce(F.col(rules[0].kind), F.array().cast(FINDING)))) > 0)
@@ -111,9 +143,10 @@ def by_path(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RUL
 
 def listing(rules: tuple[Rule, ...] = RULES) -> Column:
     """kind:start:end of all findings, by start, then kind as listed, comma-joined."""
-    def placed(i: int, kind: str) -> Column:
+
+    def numbered(i: int, kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("nth"), s["end"].alias("end")))
 
-    all_spans = F.array_sort(F.concat(*(placed(i, r.kind) for i, r in enumerate(rules))))
+    all_spans = F.array_sort(F.concat(*(numbered(i, r.kind) for i, r in enumerate(rules))))
     kind = lambda nth: F.element_at(F.array(*(F.lit(r.kind) for r in rules)), nth + 1)
     return F.concat_ws(",", F.transform(all_spans, lambda s: F.concat_ws(":", kind(s["nth"]), s["start"].cast("string"), s["end"].cast("string"))))
