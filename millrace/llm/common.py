@@ -19,12 +19,20 @@ from pyspark.sql import functions as F
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Spark then deletes the shuffle files of a job's plan as soon as the job has ended
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _MADE: list[tuple[SparkSession, str]] = []
 _SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship this package to the Python workers, once for each application."""
+    """Ship this package to the Python workers, once for each application.
+
+    Where the session sets no size for Arrow batches they get ARROW_BYTES: a batch
+    is held several times at once, by either side and for every core, and the
+    default of 64 MB of long texts would fill an executor.
+    """
+    if spark.conf.get(ARROW, None) is None:
+        spark.conf.set(ARROW, ARROW_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

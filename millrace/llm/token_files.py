@@ -44,9 +44,9 @@ LAYOUT = {
     "compression": "zstd",
 }
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 PART_BYTES = 256 << 20
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 16 << 20
 # The steps of the word-wise BPE files that are known to part texts at white space.
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
