@@ -15,7 +15,7 @@ outside the base spans becomes a span of its own if its probability for a kind
 is at least `sure` and a skip path ties it to a base span of that kind.
 
 The weights are fitted here by pseudo-likelihood on a bounded sample of
-documents (`sample_docs`, `sample_bytes`), labelled by the base patterns; part
+documents (`sample_docs`, `sample_bytes`: ties of the hash go to smaller doc_ids, then texts), labelled by the base patterns; part
 of the tokens have their own features hidden in training, so that the edges
 carry weight.  Documents are labelled one by one, whole, inside tasks; skip
 edges are one per token and form, not one per pair.
@@ -190,27 +190,39 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
 
+def tied_together(n: int, edges: np.ndarray) -> list[int]:
+    """For each of n tokens, the smallest token that edges tie it to, over any number of them."""
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in edges.tolist():
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
 def added_spans(text: str, spans: list[Span], field: Field, sure: float) -> list[Span]:
     """Spans that the field adds to the base ones."""
     g = graph(text, spans)
     if g is None or not len(g.skip) or not (g.base == 0).any():
         return []
-    group = np.arange(len(g.start))  # tokens that skip edges tie together
-    for a, b in g.skip:  # edges come by their later end, so one sweep forward and one back settle it
-        group[b] = min(group[a], group[b])
-    for a, b in g.skip[::-1]:
-        group[a] = group[b] = min(group[a], group[b])
+    group = tied_together(len(g.start), g.skip)
     tied: dict[int, set[int]] = {}
     for i in np.flatnonzero(g.base):
-        tied.setdefault(int(group[i]), set()).add(int(g.base[i]))
-    open_ = [i for i in np.flatnonzero(g.base == 0) if int(group[i]) in tied]
+        tied.setdefault(group[i], set()).add(int(g.base[i]))
+    open_ = [i for i in np.flatnonzero(g.base == 0) if group[i] in tied]
     if not open_:
         return []
     p = field.beliefs(g)
     out = []
     for i in open_:
         label = int(p[i].argmax())
-        if label and p[i, label] >= sure and label in tied[int(group[i])]:
+        if label and p[i, label] >= sure and label in tied[group[i]]:
             out.append((g.start[i], label - 1, g.end[i]))
     return out
 
