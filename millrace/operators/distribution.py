@@ -1,15 +1,18 @@
-"""Winsorised moments, robust scaling, histograms and coverage."""
+"""Winsorised moments, robust scaling, histograms and coverage.
+
+Null groups are groups of their own; null values take no part in statistics.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import quantiles
+from .ranking import join_same, quantiles
 
 
 def _back(df: DataFrame, stats: DataFrame, groups: list[str]) -> DataFrame:
-    return df.join(stats, groups, "left") if groups else df.crossJoin(stats)  # stats has one row
+    return join_same(df, stats, groups, "left")
 
 
 def winsorized_zscore(df: DataFrame, groups: list[str], value: str, out: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -47,7 +50,7 @@ def histogram(df: DataFrame, groups: list[str], value: str, most: int = 16) -> D
     at = F.when(F.col("bins") == 1, 0).otherwise(F.least(F.floor((F.col(value) - F.col("low")) / width), F.col("bins") - 1)).cast("int")
     counts = _back(known, ends, groups).withColumn("bin", at).groupBy(*groups, "bin").agg(F.count("*").alias("n"))
     every = ends.select(*groups, "low", width.alias("width"), F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
-    return every.join(counts, [*groups, "bin"], "left").select(*groups, "bin", (F.col("low") + F.col("bin") * F.col("width")).alias("bin_low"), F.coalesce("n", F.lit(0)).alias("n"))
+    return join_same(every, counts, [*groups, "bin"], "left").select(*groups, "bin", (F.col("low") + F.col("bin") * F.col("width")).alias("bin_low"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def unpivot(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -74,3 +77,22 @@ def robust_extent(df: DataFrame, groups: list[str], value: str, trim: float = 0.
     """Axis bounds: inner quantiles, widened by a share of their distance."""
     q = quantiles(df, groups, value, {"a": trim, "b": 1 - trim})
     return q.select(*groups, (F.col("a") - pad * (F.col("b") - F.col("a"))).alias("axis_low"), (F.col("b") + pad * (F.col("b") - F.col("a"))).alias("axis_high"))
+
+
+def with_availability(df: DataFrame, keys: list[str], columns: list[str], suffix: str = "_known") -> DataFrame:
+    """Adds <column><suffix>: whether the slice has any value of the column.  One grouped sum serves all columns."""
+    return _back(df, df.groupBy(*keys).agg(*((F.count(c) > 0).alias(c + suffix) for c in columns)), keys)
+
+
+def zero_where_recorded(df: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
+    """A missing count is 0 where the slice records the field at all, else null."""
+    known = with_availability(df, keys, [column], "__known")
+    return known.withColumn(out, F.when(F.col(f"{column}__known"), F.coalesce(column, F.lit(0)))).drop(f"{column}__known")
+
+
+def min_max_heat(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """0 to 100 between a group's extremes, 50 if they are equal."""
+    ends = _back(df, df.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high")), keys)
+    share = (F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")) * 100
+    heat = F.when(F.col("__high") == F.col("__low"), 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)))
+    return ends.withColumn(out, F.when(F.col(value).isNotNull(), heat)).drop("__low", "__high")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cohort import best_row
@@ -84,8 +84,7 @@ def unique_match(rows: DataFrame, candidates: DataFrame, on: str, key: str, cand
 
 
 def sole_owner(rows: DataFrame, shared_id: str, newest_first: list[Column]) -> DataFrame:
-    """One row may hold a shared id: the first by order keeps it, the others get null."""
-    from pyspark.sql import Window
-
+    """One row may hold a shared id: the first by order keeps it, the others get null; rows without one stay as they are."""
     nth = F.row_number().over(Window.partitionBy(shared_id).orderBy(*newest_first))
-    return rows.withColumn(shared_id, F.when(nth == 1, F.col(shared_id)))
+    held = rows.where(F.col(shared_id).isNotNull()).withColumn(shared_id, F.when(nth == 1, F.col(shared_id)))
+    return held.unionByName(rows.where(F.col(shared_id).isNull()))

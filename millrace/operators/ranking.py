@@ -5,22 +5,40 @@ are first counted by (group, value); an order-preserving code of a value's binar
 exponent and leading bits deals the distinct values into buckets, for any data
 and without looking at them first; bucket totals, a table of groups times buckets,
 give each bucket's offset; and only then does a window run, inside a bucket.
+
+Defined results: null values have no place; null groups are groups of their own;
+infinities are values like others, and NaN counts as one value above all others,
+as Spark sorts it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS = 32  # buckets for each doubling
+_BEYOND = (1100 + 1100) * STEPS  # above the code of any finite value
 
 
 def magnitude(value: Column, steps: int = STEPS) -> Column:
     """A whole number that never falls as the value grows."""
-    size = F.abs(value.cast("double"))
+    value = value.cast("double")
+    size = F.abs(value)
     power = F.floor(F.log2(size))
     code = (power + 1100) * steps + F.floor((size / F.pow(F.lit(2.0), power) - 1) * steps)
-    return F.when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code).cast("int")
+    code = F.when(size == float("inf"), F.lit(_BEYOND * steps // STEPS)).otherwise(code)
+    return F.when(F.isnan(value), F.lit(_BEYOND * steps // STEPS + 1)).when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code).cast("int")
+
+
+def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equality join in which nulls meet nulls (and NaN meets NaN); the columns of `on` come from the left side."""
+    if not on:
+        return left.crossJoin(right)  # callers pass one row of totals
+    there = right.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on))
+    return left.join(there, same, how).drop(*(f"__on_{c}" for c in on))
 
 
 def cumulative_counts(df: DataFrame, groups: list[str], value: str, weight: str | None = None) -> DataFrame:
@@ -34,7 +52,7 @@ def cumulative_counts(df: DataFrame, groups: list[str], value: str, weight: str
     over = Window.partitionBy(*groups)
     offsets = totals.select(*groups, "bucket", F.coalesce(F.sum("in_bucket").over(over.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("in_bucket").over(over).alias("total"))
     inside = Window.partitionBy(*groups, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.join(offsets, [*groups, "bucket"]).select(*groups, value, "n", (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"), "total")
+    return join_same(dealt, offsets, [*groups, "bucket"]).select(*groups, value, "n", (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"), "total")
 
 
 def midrank_percentile(df: DataFrame, groups: list[str], value: str, out: str, eligible: Column | None = None) -> DataFrame:
@@ -52,7 +70,7 @@ def external_percentile(probes: DataFrame, population: DataFrame, groups: list[s
     both = probes.select(*groups, value).distinct().withColumn("__pop", F.lit(0)).unionByName(population.select(*groups, value).withColumn("__pop", F.lit(1)))
     ranked = cumulative_counts(both, groups, value, weight="__pop")
     pct = ranked.select(*groups, value, F.when(F.col("total") > 0, (F.col("below") + F.col("below") + F.col("n")) / 2.0 / F.col("total") * 100.0).alias(out))
-    return probes.join(pct, [*groups, value], "left")
+    return join_same(probes, pct, [*groups, value], "left")
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str, probes: dict[str, float]) -> DataFrame:
@@ -64,7 +82,8 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probes: dict[str, fl
         low = F.floor(place)
         holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
         lo, hi = F.max(F.when(holds(low), F.col(value))), F.max(F.when(holds(F.least(low + 1, F.col("total") - 1)), F.col(value)))
-        picks.append((lo + (hi - lo) * F.max(place - low)).alias(name))
+        part = F.max(place - low)
+        picks.append(F.when((part == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * part).alias(name))
     return ranks.groupBy(*groups).agg(*picks)
 
 
@@ -72,31 +91,58 @@ def competition_rank(df: DataFrame, groups: list[str], value: str, out: str, des
     """1, 1, 3 ...; null values get no rank."""
     ranks = cumulative_counts(df, groups, value)
     place = (F.col("total") - F.col("below") - F.col("n") + 1) if descending else (F.col("below") + 1)
-    return df.join(ranks.select(*groups, value, place.alias(out)), [*groups, value], "left")
+    return join_same(df, ranks.select(*groups, value, place.alias(out)), [*groups, value], "left")
 
 
-def tolerant_rank(value: str, groups: list[str], order: Column, tolerance: float = 1e-9) -> Column:
-    """Competition rank in which a value within tolerance of the one before it shares its rank (so ties can chain)."""
-    over = Window.partitionBy(*groups).orderBy(order)
-    before = F.lag(value).over(over)
-    bound = F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(F.col(value)), F.abs(before))
-    fresh = before.isNull() | (F.abs(F.col(value) - before) > bound)
-    return F.max(F.when(fresh, F.row_number().over(over))).over(over.rowsBetween(Window.unboundedPreceding, 0))
+def ordinal_rank(df: DataFrame, groups: list[str], value: str, ties: list[Column], out: str, descending: bool = True) -> DataFrame:
+    """1, 2, 3 ...: equal values are placed by `ties`, among themselves only; null values get no rank."""
+    placed = competition_rank(df, groups, value, "__place", descending)
+    nth = F.row_number().over(Window.partitionBy(*groups, value).orderBy(*ties))
+    return placed.withColumn(out, F.col("__place") + nth - 1).drop("__place")
+
+
+def tolerant_rank(df: DataFrame, groups: list[str], value: str, out: str, tolerance: float = 1e-9) -> DataFrame:
+    """Competition rank, largest first, in which a value within `tolerance` of the next larger one shares its rank, so ties can chain.
+
+    The tolerance is relative above 1 and absolute below.  Chains are followed
+    inside a bucket; what goes from bucket to bucket is each one's smallest value
+    and the last place that opened a chain.
+    """
+    ranks = cumulative_counts(df, groups, value)
+    rows = ranks.select(*groups, value, (F.col("total") - F.col("below") - F.col("n") + 1).alias("__place")).withColumn("__bucket", -magnitude(F.col(value)))
+    within = Window.partitionBy(*groups, "__bucket").orderBy(F.desc(value))
+    by_bucket = Window.partitionBy(*groups).orderBy("__bucket")
+    ends = rows.groupBy(*groups, "__bucket").agg(F.min(value).alias("__end"))
+    ends = ends.select(*groups, "__bucket", F.lag("__end").over(by_bucket).alias("__last"))
+    linked = join_same(rows, ends, [*groups, "__bucket"]).withColumn("__before", F.coalesce(F.lag(value).over(within), "__last"))
+    bound = F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(F.col(value)), F.abs(F.col("__before")))
+    opens = F.col("__before").isNull() | (F.abs(F.col(value) - F.col("__before")) > bound)
+    marked = linked.withColumn("__open", F.when(opens, F.col("__place")))
+    carried = marked.groupBy(*groups, "__bucket").agg(F.max("__open").alias("__opened"))
+    carried = carried.select(*groups, "__bucket", F.max("__opened").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    inside = F.max("__open").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    places = join_same(marked.withColumn("__inside", inside), carried, [*groups, "__bucket"]).select(*groups, value, F.coalesce("__inside", "__carried").alias(out))
+    return join_same(df, places, [*groups, value], "left")
 
 
 def rank_sum(df: DataFrame, keys: list[str], values: list[str], tie: str, ordinal: bool = False) -> DataFrame:
     """Adds rank_<value> for each value (largest first) and rank_sum; rows that lack any value are left out."""
     out = df.dropna(subset=values)
     for v in values:
-        w = Window.partitionBy(*keys).orderBy(F.desc(v), tie) if ordinal else Window.partitionBy(*keys).orderBy(F.desc(v))
-        out = out.withColumn(f"rank_{v}", (F.row_number() if ordinal else F.rank()).over(w))
+        out = ordinal_rank(out, keys, v, [F.col(tie)], f"rank_{v}") if ordinal else competition_rank(out, keys, v, f"rank_{v}")
     return out.withColumn("rank_sum", sum((F.col(f"rank_{v}") for v in values), F.lit(0)))
 
 
 def best_and_worst(df: DataFrame, keys: list[str], value: str, tie: str, n: int = 2) -> DataFrame:
-    """The n best and n worst of each group as side; a row that is among the best is not among the worst."""
-    up = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), tie))
-    down = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc(value), F.desc(tie)))
-    placed = df.where(F.col(value).isNotNull()).withColumn("__up", up).withColumn("__down", down)
-    side = F.when(F.col("__up") <= n, "best").when(F.col("__down") <= n, "worst")
-    return placed.withColumn("side", side).where("side is not null").drop("__up", "__down")
+    """The n best and n worst of each group as side; a row that is among the best is not among the worst.
+
+    A bound on row numbers lets every task keep its own n first rows of a group before any shuffle.
+    """
+
+    def first(order: list[Column]) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.where(F.col(value).isNotNull()).withColumn("__n", nth).where(F.col("__n") <= n).drop("__n")
+
+    best, worst = first([F.desc(value), F.col(tie)]), first([F.asc(value), F.desc(tie)])
+    left = worst.join(best.select(*(F.col(k).alias(f"__{k}") for k in [*keys, tie])), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, tie]], "left_anti")
+    return best.withColumn("side", F.lit("best")).unionByName(left.withColumn("side", F.lit("worst")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -17,13 +19,15 @@ def weighted_l1(a: Column, b: Column, weights: list[float] | None = None) -> Col
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int, *, group: str | None = None, weights: list[float] | None = None, other_group: float = 1.25, blocks: int = 8) -> DataFrame:
+def nearest(queries: DataFrame, pool: DataFrame, key: str, vector: str, k: int, *, group: str | None = None, weights: list[float] | None = None, other_group: float = 1.25, block_rows: int = 20_000, blocks: int | None = None) -> DataFrame:
     """query, neighbour, distance, rank: the k nearest of the pool to each of a stated set of queries.
 
     Distances between different groups are stretched by `other_group`.  The pool is
-    dealt into `blocks` by its key; every block keeps its k best for each query
-    before anything is gathered, so k * blocks rows meet for a query.
+    dealt by its key into `blocks`, by default of about `block_rows` and one for each
+    task slot at least; every block keeps its k best for each query before anything is gathered,
+    so k rows a block meet for a query.
     """
+    blocks = blocks or max(pool.sparkSession.sparkContext.defaultParallelism, math.ceil(pool.count() / block_rows))
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"), (F.col(group) if group else F.lit(0)).alias("__qg"))
     p = pool.select(F.col(key).alias("neighbour"), F.col(vector).alias("__p"), (F.col(group) if group else F.lit(0)).alias("__pg"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__block"))
     q = q.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -42,8 +46,10 @@ def scored(edges: DataFrame, n_candidates: Column, scale: Column) -> DataFrame:
     return out.withColumn("score", F.least("candidate_score", "absolute_score")).withColumn("weak", F.col("absolute_score") < F.col("candidate_score") - 10)
 
 
-def two_nearest(rows: DataFrame, centroids: DataFrame, key: str, vector: str, label: str, distance) -> DataFrame:
-    """key, primary, secondary, margin; centroids are a few rows that every task may hold."""
+def two_nearest(rows: DataFrame, centroids: DataFrame, key: str, vector: str, label: str, distance, most: int = 2000) -> DataFrame:
+    """key, primary, secondary, margin; more than `most` centroids, which every task holds, are an error."""
+    if centroids.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} centroids")
     c = centroids.select(F.col(label).alias("__label"), F.col(vector).alias("__c")).agg(F.collect_list(F.struct("__label", "__c")).alias("__all"))
     ranked = F.array_sort(F.transform("__all", lambda x: F.struct(distance(F.col(vector), x["__c"]).alias("d"), x["__label"].alias("label"))))
     met = rows.crossJoin(F.broadcast(c)).withColumn("__r", ranked)  # one row of centroids
@@ -52,7 +58,7 @@ def two_nearest(rows: DataFrame, centroids: DataFrame, key: str, vector: str, la
 
 def clustered(rows: DataFrame, key: str, vector: str, choices: range, seed: int = 42, penalty: float = 0.015) -> DataFrame:
     """key, cluster for the number of clusters with the best silhouette less `penalty` for each cluster."""
-    given = rows.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
+    given = rows.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
     best, chosen = None, None
     for k in choices:
         model = KMeans(k=k, seed=seed, maxIter=30).fit(given)
@@ -60,6 +66,7 @@ def clustered(rows: DataFrame, key: str, vector: str, choices: range, seed: int
         worth = ClusteringEvaluator().evaluate(out) - penalty * k
         if best is None or worth > best:
             best, chosen = worth, out
+    given.unpersist()  # the chosen model is applied to the rows anew
     return chosen.select(key, F.col("prediction").alias("cluster"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import cohort, merge
+from ..operators import cohort, merge, ranking
 from .registry import query, read
 
 
@@ -44,11 +44,13 @@ def capped_with_total(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select c_mktsegment, c_custkey, row_number() over (partition by c_mktsegment order by case when c_acctbal < 0 then 0 when c_acctbal < 3000 then 1 when c_acctbal < 6000 then 2 else 3 end, c_acctbal desc, lower(c_name)) as place from customer""")
 def squad_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """Places by band, then balance, then name; the bands before are one count for each segment and band."""
     band = F.when(F.col("c_acctbal") < 0, 0).when(F.col("c_acctbal") < 3000, 1).when(F.col("c_acctbal") < 6000, 2).otherwise(3)
-    w = Window.partitionBy("c_mktsegment").orderBy(band, F.coalesce("c_acctbal", F.lit(0.0)).desc(), F.lower("c_name"))
-    return read(spark, d, "customer").select("c_mktsegment", "c_custkey", F.row_number().over(w).alias("place"))
+    rows = read(spark, d, "customer").select("c_mktsegment", "c_custkey", "c_name", band.alias("band"), F.coalesce("c_acctbal", F.lit(0.0)).alias("balance"))
+    placed = ranking.ordinal_rank(rows, ["c_mktsegment", "band"], "balance", [F.lower("c_name")], "nth")
+    before = Window.partitionBy("c_mktsegment").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("c_mktsegment", "band").agg(F.count("*").alias("n")).select("c_mktsegment", "band", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return ranking.join_same(placed, counts, ["c_mktsegment", "band"]).select("c_mktsegment", "c_custkey", (F.col("nth") + F.col("before")).cast("int").alias("place"))
 
 
 @query("""with a as (select o_custkey as k, o_totalprice as price, o_orderpriority as prio from orders where o_orderstatus = 'O' qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rates, seasons
 from ..functions.text import name_tokens
+from ..operators import distribution, ranking
 from ..operators.distribution import unpivot
 from .registry import query, read
 
@@ -120,7 +121,7 @@ def explained(parts: DataFrame) -> DataFrame:
 
 @query("""select event_type, median(value) as middle, median(value) >= 50 as passed from events where value > 0 group by 1 having count(*) >= 3""")
 def median_gate(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").where("value > 0").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("middle"))
+    e = distribution.summary(read(spark, d, "events").where("value > 0"), ["event_type"], "value").withColumnRenamed("p50", "middle")
     return e.where("n >= 3").select("event_type", "middle", (F.col("middle") >= 50).alias("passed"))
 
 
@@ -156,6 +157,6 @@ def previous_rows(spark: SparkSession, d: str) -> DataFrame:
 @query("""select l_suppkey, round(100 * exp(-avg(l_discount) / 0.05), 6) as decayed, round((count(*) over () - rank() over (order by count(*) desc)) / (count(*) over () - 1)::double * 100, 6) as standing from lineitem group by 1""")
 def decay_and_standing(spark: SparkSession, d: str) -> DataFrame:
     """Decay scores and rank percentages of the suppliers, a table of one row each."""
-    g = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("x"), F.count("*").alias("n"))
-    total, rank = F.count("*").over(Window.partitionBy()), F.rank().over(Window.orderBy(F.desc("n")))
-    return g.select("l_suppkey", F.round(rates.decay_score(F.col("x"), F.lit(0.05)), 6).alias("decayed"), F.round(rates.rank_percent(rank, total), 6).alias("standing"))
+    g = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("x"), F.count("*").alias("lines"))
+    ranked = ranking.competition_rank(g, [], "lines", "place").crossJoin(F.broadcast(g.agg(F.count("*").alias("total"))))  # one row
+    return ranked.select("l_suppkey", F.round(rates.decay_score(F.col("x"), F.lit(0.05)), 6).alias("decayed"), F.round(rates.rank_percent(F.col("place"), F.col("total")), 6).alias("standing"))

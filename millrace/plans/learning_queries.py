@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import distribution, regression, similarity
+from ..operators import distribution, ranking, regression, similarity
 from .registry import query, read
 
 _KNN = """with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
@@ -32,7 +32,7 @@ def knn_weighted_l1_top15(spark: SparkSession, d: str) -> DataFrame:
     select query, neighbour, rank, round(least(c, a), 6) as score, round(a, 6) < round(c - 10, 6) as weak from (select *, 100.0::double * (1 - (rank - 1) / (n.n - 1)) as c, 100.0::double * exp(-distance / s.scale) as a from r, s, n)""")
 def similarity_scores(spark: SparkSession, d: str) -> DataFrame:
     near = _knn(spark, d)
-    scale = near.where("rank <= 5").agg((F.percentile("distance", F.lit(0.5)) * 4).alias("scale"))
+    scale = ranking.quantiles(near.where("rank <= 5"), [], "distance", {"middle": 0.5}).select((F.col("middle") * 4).alias("scale"))
     n = read(spark, d, "embeddings").agg((F.count("*") - 1).alias("candidates"))
     out = similarity.scored(near.crossJoin(F.broadcast(scale)).crossJoin(F.broadcast(n)), F.col("candidates"), F.col("scale"))  # one row each
     return out.select("query", "neighbour", "rank", F.round("score", 6).alias("score"), (F.round("absolute_score", 6) < F.round(F.col("candidate_score") - 10, 6)).alias("weak"))

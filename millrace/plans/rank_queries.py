@@ -38,7 +38,7 @@ def fallback_chain(spark: SparkSession, d: str) -> DataFrame:
 def null_availability_rule(spark: SparkSession, d: str) -> DataFrame:
     k = read(spark, d, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("k"))
     both = read(spark, d, "customer").join(k, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("n", F.when(F.col("c_mktsegment") != "BUILDING", F.col("k")))
-    return both.select("c_custkey", "c_mktsegment", rates.count_or_null(F.col("n"), ["c_mktsegment"]).alias("orders_or_null"))
+    return distribution.zero_where_recorded(both, ["c_mktsegment"], "n", "orders_or_null").select("c_custkey", "c_mktsegment", "orders_or_null")
 
 
 @query("""select l_partkey, round(case when n > 0 then (hits - expected) / n * (n / (n + 35.0::double)) end, 9) as surplus,
@@ -228,15 +228,13 @@ def extremes_best_worst(spark: SparkSession, d: str) -> DataFrame:
 @query("""select c_custkey, round(case when hi = lo then 50.0 else greatest(0, least(100, (c_acctbal - lo) / (hi - lo) * 100)) end, 6) as heat from
     (select c_custkey, c_acctbal, min(c_acctbal) over (partition by c_mktsegment) as lo, max(c_acctbal) over (partition by c_mktsegment) as hi from customer)""")
 def minutes_heat(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "customer").select("c_custkey", F.round(rates.min_max_heat(F.col("c_acctbal"), ["c_mktsegment"]), 6).alias("heat"))
+    heat = distribution.min_max_heat(read(spark, d, "customer"), ["c_mktsegment"], "c_acctbal", "heat")
+    return heat.select("c_custkey", F.round("heat", 6).alias("heat"))
 
 
 @query("""with r as (select s_suppkey, s_acctbal as v, lag(s_acctbal) over (order by s_acctbal desc, s_suppkey) as b, row_number() over (order by s_acctbal desc, s_suppkey) as n from supplier)
     select s_suppkey, max(case when b is null or abs(v - b) > 0.01 * greatest(1, abs(v), abs(b)) then n end) over (order by n) as place from r""")
 def tolerant_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks in which values within one in a hundred of the one before share a place; one region's few suppliers at a time in use."""
-    rows = read(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.lit(0).alias("g"))
-    over = Window.partitionBy("g").orderBy(F.desc("s_acctbal"), "s_suppkey")
-    before = F.lag("s_acctbal").over(over)
-    placed = rows.withColumn("n", F.row_number().over(over)).withColumn("fresh", before.isNull() | (F.abs(F.col("s_acctbal") - before) > F.lit(0.01) * F.greatest(F.lit(1.0), F.abs("s_acctbal"), F.abs(before))))
-    return placed.select("s_suppkey", F.max(F.when(F.col("fresh"), F.col("n"))).over(Window.partitionBy("g").orderBy("n")).alias("place"))
+    """Ranks in which balances within one in a hundred of the one before share a place."""
+    rows = read(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return ranking.tolerant_rank(rows, [], "s_acctbal", "place", tolerance=0.01).select("s_suppkey", "place")
