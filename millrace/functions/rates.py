@@ -30,19 +30,17 @@ def shrunk_delta(actual: Column, expected: Column, trials: Column, prior: float
 
 
 def share_of_known(hits: Column, misses: Column, trials: Column) -> Column:
-    """hits / (hits + misses); without those, hits / trials, at most 1."""
+    """hits / (hits + misses); without those, hits / trials, at most 1; null without hits."""
     known = hits + misses
-    return F.when(known > 0, hits / known).when(trials > 0, F.least(F.lit(1.0), hits / trials))
-
-
-def available(column: Column, slice_keys: list[str]) -> Column:
-    """Whether the slice has any value of the column."""
-    return F.count(column).over(Window.partitionBy(*slice_keys)) > 0
+    return F.when(known > 0, hits / known).when((trials > 0) & hits.isNotNull(), F.least(F.lit(1.0), hits / trials))
 
 
 def count_or_null(column: Column, slice_keys: list[str]) -> Column:
-    """A missing count is 0 where the slice records the field at all, else null."""
-    return F.when(available(column, slice_keys), F.coalesce(column, F.lit(0)))
+    """A missing count is 0 where the slice records the field at all, else null.
+
+    A window for small slices; distribution.zero_where_recorded() does the same for slices of any size.
+    """
+    return F.when(F.count(column).over(Window.partitionBy(*slice_keys)) > 0, F.coalesce(column, F.lit(0)))
 
 
 def rescale(value: Column, minutes: Column, mode: str, whole: bool = False, unit: float = 90.0) -> Column:
@@ -56,13 +54,6 @@ def half_up(value: Column) -> Column:
     return F.floor(value + 0.5)
 
 
-def min_max_heat(value: Column, keys: list[str]) -> Column:
-    """0 to 100 between a group's extremes, 50 if they are equal."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.when(value.isNotNull(), F.when(high == low, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (value - low) / (high - low) * 100))))
-
-
 def decay_score(distance: Column, scale: Column) -> Column:
     return F.lit(100.0) * F.exp(-distance / scale)
 

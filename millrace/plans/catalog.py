@@ -1,4 +1,4 @@
 """All registered queries over the driver tables."""
 
-from . import cohort_queries, entity_queries, event_queries, further_queries, learning_queries, rank_queries, text_queries  # noqa: F401
+from . import cohort_queries, entity_queries, event_queries, further_queries, learning_queries, rank_queries, season_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
