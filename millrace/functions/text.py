@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 #: Latin letters with marks and their plain forms, place by place
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćđěřůłńśźżąęőűğışțăāēīūķļņģ"
@@ -87,3 +87,65 @@ def position_group(label: Column, rules: list[tuple[str, list[str]]], otherwise:
     for group, names in reversed(rules):
         out = F.when(F.arrays_overlap(words, F.array(*(F.lit(n) for n in names))), group).otherwise(out)
     return out
+
+
+# Native position words and the labels shown for them.
+POSITION_LABELS = {
+    "AM": "Attacking Midfield", "CENTRAL MIDFIELDER": "Central Midfield", "CENTRE-BACK": "Centre-Back", "CENTRE-FORWARD": "Centre-Forward", "CENTREBACK": "Centre-Back", "CENTREFORWARD": "Centre-Forward",
+    "DC": "Centre-Back", "DEFENDER": "Defender", "DEFENSIVE MIDFIELDER": "Defensive Midfield", "DL": "Left-Back", "DM": "Defensive Midfield", "DR": "Right-Back", "F": "F", "FORWARD": "Forward",
+    "FULL-BACK": "Full Back", "FULLBACK": "Full Back", "G": "Goalkeeper", "GK": "Goalkeeper", "GOALKEEPER": "Goalkeeper", "INSIDE FORWARD": "Inside Forward", "LW": "Left Winger", "MC": "Central Midfield",
+    "MIDFIELDER": "Midfielder", "ML": "Left Midfield", "MR": "Right Midfield", "RIGHT WINGER": "Right Winger", "RW": "Right Winger", "ST": "Centre-Forward", "WINGER": "Winger",
+}
+
+
+def position_label(raw: Column) -> Column:
+    """The label of a native position; one without a label stays, with its blanks and underscores squeezed."""
+    squeezed = F.trim(F.regexp_replace(F.replace(raw, F.lit("_"), F.lit(" ")), r"\s+", " "))
+    known = F.create_map(*(F.lit(x) for pair in POSITION_LABELS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.upper(squeezed)), squeezed)
+
+
+def without_rate_mark(label: Column) -> Column:
+    """A label without a closing /90."""
+    return F.regexp_replace(label, r"\s*/\s*90$", "")
+
+
+def name_steps(a: Column, b: Column, allow_first_name: bool = False) -> Column:
+    """The likeness of two names by rules on their words; null where only their letters in sequence can tell, 0 for an empty name."""
+    plain = lambda c: F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), "[^0-9a-z]+", " "))
+    a, b = F.coalesce(plain(a), F.lit("")), F.coalesce(plain(b), F.lit(""))
+    x, y = F.split(a, " "), F.split(b, " ")
+    within = lambda p, q: F.size(F.array_except(p, q)) == 0
+    many = (F.size(x) > 1) & (F.size(y) > 1) & (x[0] == y[0])
+    inside = (F.length(a) >= 6) & (F.length(b) >= 6) & (F.contains(a, b) | F.contains(b, a))
+    steps = F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(inside, 0.9).when(within(x, y) & within(y, x), 0.98)
+    steps = steps.when((F.size(x) >= 2) & within(x, y), 0.92).when((F.size(y) >= 2) & within(y, x), 0.9)
+    if not allow_first_name:
+        steps = steps.when(within(x, y) | within(y, x), 0.82)
+    steps = steps.when(many & (F.element_at(x, -1) == F.element_at(y, -1)), 0.95)
+    return steps.when(many, 0.72) if allow_first_name else steps
+
+
+@pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of letters in matching blocks, by difflib; below 0.82 it counts as 0."""
+    from difflib import SequenceMatcher
+
+    def one(x: str, y: str) -> float:
+        matcher = SequenceMatcher(None, x, y)
+        if matcher.real_quick_ratio() < 0.82 or matcher.quick_ratio() < 0.82:
+            return 0.0
+        ratio = matcher.ratio()
+        return ratio if ratio >= 0.82 else 0.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def name_score(a: Column, b: Column, allow_first_name: bool = False) -> Column:
+    """Likeness of two names from 0 to 1, by words first; only what these leave open goes to Python."""
+    steps = name_steps(a, b, allow_first_name)
+    plain = lambda c: F.coalesce(F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), "[^0-9a-z]+", " ")), F.lit(""))
+    # an empty pair costs the Python step nothing
+    left = F.when(steps.isNull(), plain(a)).otherwise("")
+    right = F.when(steps.isNull(), plain(b)).otherwise("-")
+    return F.coalesce(steps, sequence_ratio(left, right))
