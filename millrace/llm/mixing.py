@@ -9,13 +9,15 @@ at which none exceeds one (or a given rate, above which probabilities stop at
 one).  Whether a document is in depends on its doc_id and the seed alone.
 
 Only the cell totals, as many as there are combinations and not documents, are
-fitted: a grouped sum with partial sums before its shuffle, so that a source
-with a third of all rows is no burden.  Up to `max_cells` cells the loop runs on
-the driver (a table of that bounded size); beyond, `rake_cells` runs the same
-updates as grouped sums on Spark, one written table for each round.
+fitted, on Spark at every size: a grouped sum with partial sums before its
+shuffle, so that a source with a third of all rows is no burden; then rounds of
+grouped sums and joins over the cells, one written table for each round, until
+every margin is within `tolerance` of its target or `rounds` are over.
+`margins_reached` reports what was reached.
 
 Defined results: null sources, languages and topics are classes of their own;
 null and empty texts weigh 0 tokens and are drawn like the rest of their cell;
+texts of any length are counted whole; rows of equal draws are in or out together;
 cells of 0 tokens keep the factor 1; targets are shares by class, and classes
 without a target keep their share of the tokens; repeated doc_ids are drawn
 together; null doc_ids never enter; an empty table gives an empty result.
@@ -25,7 +27,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ from .common import prepare, stored, uniform
 
 NONE = "(none)"
 ROUNDS = 12
+TOLERANCE = 1e-12
 
 
 def words(text: Column) -> Column:
@@ -61,92 +63,67 @@ def totals(rows: DataFrame, margins: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*margins).agg(F.sum("tokens").cast("double").alias("tokens"))
 
 
-def tempered(shares: Mapping[str, float], exponent: float) -> dict[str, float]:
-    """Targets between what there is (1) and equal parts (0)."""
-    raised = {k: v**exponent for k, v in shares.items() if v > 0}
-    return {k: v / sum(raised.values()) for k, v in raised.items()}
+def goals(cells: DataFrame, margin: str, wanted: Mapping[str, float] | None, exponent: float) -> DataFrame:
+    """(margin, goal in tokens) of the classes that have tokens.
 
-
-def _shares(cells, margin: str) -> dict[str, float]:
-    by = cells.groupby(margin)["tokens"].sum()
-    return (by / max(by.sum(), 1.0)).to_dict()
-
-
-def _targets(shares: Mapping[str, float], wanted: Mapping[str, float]) -> dict[str, float]:
-    """Wanted shares for classes that have tokens; the others keep theirs."""
-    there = {k: v for k, v in shares.items() if v > 0}
-    asked = {k: wanted[k] for k in there if k in wanted}
-    rest = {k: v for k, v in there.items() if k not in wanted}
-    free = max(0.0, 1.0 - sum(rest.values()))
-    scale = free / sum(asked.values()) if sum(asked.values()) > 0 else 0.0
-    return {k: v * scale for k, v in asked.items()} | rest
-
-
-def rake(cells, targets: Mapping[str, Mapping[str, float]], rounds: int = ROUNDS):
-    """Iterative proportional fitting of a pandas table of cells; adds factor."""
-    cells = cells.copy()
-    total, fitted = cells["tokens"].sum(), cells["tokens"].to_numpy(np.float64).copy()
-    codes = {m: cells[m].astype("category").cat for m in targets}
-    goal = {m: np.array([targets[m].get(k, 0.0) * total for k in c.categories], np.float64) for m, c in codes.items()}
-    for _ in range(rounds):
-        for m, c in codes.items():
-            now = np.bincount(c.codes, fitted, len(c.categories)).astype(np.float64)
-            fitted *= np.divide(goal[m], now, out=np.ones_like(now), where=now > 0)[c.codes]
-    tokens = cells["tokens"].to_numpy(np.float64)
-    cells["factor"] = np.divide(fitted, tokens, out=np.ones_like(tokens), where=tokens > 0)
-    return cells
-
-
-def rake_cells(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """The same on Spark, for more cells than one machine should hold.
+    wanted: shares by class; a class without one keeps its own share, and the others
+    are scaled to what is left.  Without any, shares are tempered: between what there
+    is (exponent 1) and equal parts (0).
+    """
+    by = cells.groupBy(margin).agg(F.sum("tokens").alias("n")).where("n > 0")
+    whole = cells.agg(F.sum("tokens").alias("whole"))  # one row
+    if wanted:
+        listed = cells.sparkSession.createDataFrame(list(wanted.items()), f"`{margin}` string, share double")
+        by = by.join(listed, margin, "left")
+        ends = by.agg(F.sum(F.when(F.col("share").isNull(), F.col("n")).otherwise(0.0)).alias("rest"), F.sum("share").alias("asked"))
+        goal = F.when(F.col("share").isNull(), F.col("n")).when(F.col("asked") > 0, F.col("share") * (F.col("whole") - F.col("rest")) / F.col("asked")).otherwise(0.0)
+    else:
+        ends = by.agg(F.sum(F.pow("n", F.lit(exponent))).alias("all"))
+        goal = F.pow("n", F.lit(exponent)) / F.col("all") * F.col("whole")
+    return by.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(ends)).select(margin, goal.alias("goal"))
+
+
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Iterative proportional fitting of cells (margins, tokens); adds fitted and factor (1 in cells without tokens).
 
     targets: for each margin a DataFrame (that column, goal in tokens).
     """
     now = cells.withColumn("fitted", F.col("tokens"))
     for _ in range(rounds):
+        off = []
         for margin, goal in targets.items():
-            sums = now.groupBy(margin).agg(F.sum("fitted").alias("__now"))
-            step = sums.join(goal, margin, "left").select(margin, F.when(F.col("__now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("__now")).otherwise(1.0).alias("__step"))
-            now = now.join(step, margin).withColumn("fitted", F.col("fitted") * F.col("__step")).drop("__step")
-        now = stored(now)
-    return now.withColumn("factor", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(1.0)).drop("fitted")
-
-
-def probabilities(rows: DataFrame, *, margins: tuple[str, ...] = ("source", "lang", "topic"), targets: Mapping[str, Mapping[str, float]] | None = None, exponent: float = 0.5, rate: float | None = None, rounds: int = ROUNDS, max_cells: int = 200_000) -> DataFrame:
+            sums = now.groupBy(margin).agg(F.sum("fitted").alias("__now")).join(goal, margin, "left")
+            step = F.when(F.col("__now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("__now")).otherwise(1.0)
+            now = now.join(sums.select(margin, step.alias(f"__{margin}")), margin).withColumn("fitted", F.col("fitted") * F.col(f"__{margin}"))
+            off.append(F.abs(F.col(f"__{margin}") - 1.0))
+        now = stored(now.withColumn("__off", F.greatest(F.lit(0.0), *off)).select(*cells.columns, "fitted", "__off"))
+        # every class was within the tolerance before its step, so no step moved anything
+        if (now.where("fitted > 0").agg(F.max("__off")).first()[0] or 0.0) <= tolerance:
+            break
+    used = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(1.0)
+    return now.drop("__off").withColumn("factor", used)
+
+
+def margins_reached(raked: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """margin, class, tokens before, tokens fitted, goal and the relative difference, for every class."""
+    out = None
+    for margin, goal in targets.items():
+        by = raked.groupBy(margin).agg(F.sum("tokens").alias("tokens"), F.sum("fitted").alias("fitted")).join(goal, margin, "left")
+        one = by.select(F.lit(margin).alias("margin"), F.col(margin).alias("class"), "tokens", "fitted", F.coalesce("goal", F.lit(0.0)).alias("goal"), F.when(F.col("goal") > 0, F.abs(F.col("fitted") / F.col("goal") - 1)).alias("off"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def probabilities(rows: DataFrame, *, margins: tuple[str, ...] = ("source", "lang", "topic"), targets: Mapping[str, Mapping[str, float]] | None = None, exponent: float = 0.5, rate: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells with tokens, factor and probability.
 
     targets: shares by class for a margin; margins without any are tempered by `exponent`.
     """
-    spark, targets = rows.sparkSession, targets or {}
     cells = stored(totals(rows, margins))
-    if cells.count() <= max_cells:
-        table = cells.orderBy(*margins).toPandas()
-        goals = {m: _targets(_shares(table, m), targets.get(m) or tempered(_shares(table, m), exponent)) for m in margins}
-        table = rake(table, goals, rounds)
-        used = table.loc[table["tokens"] > 0, "factor"]
-        table["probability"] = np.minimum(1.0, table["factor"] * (rate if rate is not None else 1.0 / max(used.max() if len(used) else 1.0, 1.0)))
-        schema = ", ".join([*(f"`{m}` string" for m in margins), "tokens double", "factor double", "probability double"])
-        # bounded by max_cells, so every task may hold it
-        return F.broadcast(spark.createDataFrame(list(table.itertuples(index=False, name=None)), schema))
-    goals_by: dict[str, DataFrame] = {}
-    whole = cells.agg(F.sum("tokens").alias("whole"))
-    for m in margins:
-        by = cells.groupBy(m).agg(F.sum("tokens").alias("n")).where("n > 0").join(whole)
-        asked = targets.get(m)
-        if asked:
-            wanted = spark.createDataFrame(list(asked.items()), f"`{m}` string, share double")
-            by = by.join(wanted, m, "left")
-            ends = by.agg(F.sum(F.when(F.col("share").isNull(), F.col("n")).otherwise(0.0)).alias("rest"), F.sum("share").alias("asked"))
-            goal = F.when(F.col("share").isNull(), F.col("n")).otherwise(F.col("share") * (F.col("whole") - F.col("rest")) / F.col("asked"))
-        else:
-            by = by.withColumn("raised", F.pow("n", F.lit(exponent)))
-            ends = by.agg(F.sum("raised").alias("all"))
-            goal = F.col("raised") / F.col("all") * F.col("whole")
-        goals_by[m] = by.join(ends).select(m, goal.alias("goal"))
-    raked = rake_cells(cells, goals_by, rounds)
-    top = raked.where("tokens > 0").agg(F.greatest(F.max("factor"), F.lit(1.0)).alias("top"))
-    scale = F.lit(rate) if rate is not None else 1.0 / F.coalesce(F.col("top"), F.lit(1.0))
-    return raked.join(top).withColumn("probability", F.least(F.lit(1.0), F.col("factor") * scale)).drop("top")
+    raked = rake(cells, {m: stored(goals(cells, m, (targets or {}).get(m), exponent)) for m in margins}, rounds, tolerance)
+    top = raked.where("tokens > 0").agg(F.greatest(F.coalesce(F.max("factor"), F.lit(1.0)), F.lit(1.0)).alias("top"))  # one row
+    scale = F.lit(float(rate)) if rate is not None else 1.0 / F.col("top")
+    return stored(raked.crossJoin(F.broadcast(top)).withColumn("probability", F.least(F.lit(1.0), F.col("factor") * scale)).drop("top", "fitted"))
 
 
 def sample(rows: DataFrame, cells: DataFrame, *, margins: tuple[str, ...] = ("source", "lang", "topic"), seed: str = "mix") -> DataFrame:

@@ -32,15 +32,36 @@ def test_equals_sql(spark, name):
 # mixing
 
 
-def test_raking_meets_its_targets():
+def rake_by_hand(cells, goals, rounds):
+    """Brute force over a pandas table of cells: factors after so many rounds."""
+    fitted = cells["tokens"].copy()
+    for _ in range(rounds):
+        for m, goal in goals.items():
+            now = fitted.groupby(cells[m]).transform("sum")
+            fitted = fitted * (cells[m].map(goal).fillna(0.0) / now).where(now > 0, 1.0)
+    return (fitted / cells["tokens"]).where(cells["tokens"] > 0, 1.0)
+
+
+def test_raking_meets_its_targets(spark):
     rng = np.random.default_rng(1)
     cells = pd.DataFrame([(a, b, c, float(rng.integers(1, 900))) for a in "xyz" for b in "pq" for c in "mn"], columns=["source", "lang", "topic", "tokens"])
-    goals = {"source": {"x": 0.5, "y": 0.3, "z": 0.2}, "lang": {"p": 0.6, "q": 0.4}, "topic": {"m": 0.7, "n": 0.3}}
-    out = mixing.rake(cells, goals, rounds=60)
-    fitted = out["tokens"] * out["factor"]
-    for m, shares in goals.items():
-        for k, v in shares.items():
-            assert fitted[out[m] == k].sum() / fitted.sum() == pytest.approx(v, abs=1e-6)
+    shares = {"source": {"x": 0.5, "y": 0.3, "z": 0.2}, "lang": {"p": 0.6, "q": 0.4}, "topic": {"m": 0.7, "n": 0.3}}
+    total = cells["tokens"].sum()
+    given = spark.createDataFrame(cells)
+    goals = {m: mixing.goals(given, m, s, 0.5) for m, s in shares.items()}
+    raked = mixing.rake(given, goals, rounds=40)
+    assert [r["off"] for r in mixing.margins_reached(raked, goals).collect()] == pytest.approx([0.0] * 7, abs=1e-9)
+    got = raked.toPandas().sort_values(["source", "lang", "topic"])
+    want = rake_by_hand(cells, {m: {k: v * total for k, v in s.items()} for m, s in shares.items()}, 40)
+    assert got["factor"].to_numpy() == pytest.approx(want.to_numpy(), rel=1e-9)
+    for m, s in shares.items():
+        for k, v in s.items():
+            assert got["fitted"][got[m] == k].sum() / got["fitted"].sum() == pytest.approx(v, abs=1e-6)
+
+
+def test_classes_without_a_target_keep_their_share(spark):
+    cells = spark.createDataFrame([("a", 60.0), ("b", 30.0), ("c", 10.0), ("d", 0.0)], "source string, tokens double")
+    assert {r["source"]: round(r["goal"], 9) for r in mixing.goals(cells, "source", {"a": 1.0, "b": 1.0, "x": 5.0}, 0.5).collect()} == {"a": 45.0, "b": 45.0, "c": 10.0}
 
 
 def test_mixing_nulls_ties_and_empty(spark):
@@ -50,12 +71,18 @@ def test_mixing_nulls_ties_and_empty(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
-def test_raking_on_spark_equals_raking_on_the_driver(spark):
+def test_probabilities_equal_raking_by_hand(spark):
     w = mixing.weighed(table(spark, SF, "documents"))
-    near = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mixing.probabilities(w).collect()}
-    far = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mixing.probabilities(w, max_cells=0, rounds=2).collect()}
-    same = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mixing.probabilities(w, rounds=2).collect()}
-    assert near.keys() == far.keys() and far == pytest.approx(same)
+    cells = w.groupBy("source", "lang", "topic").agg(F.sum("tokens").cast("double").alias("tokens")).toPandas()
+    total, goals = cells["tokens"].sum(), {}
+    for m in ("source", "lang", "topic"):
+        root = cells.groupby(m)["tokens"].sum() ** 0.5
+        goals[m] = (root / root.sum() * total).to_dict()
+    for rounds in (2, 12):
+        cells["factor"] = rake_by_hand(cells, goals, rounds)
+        want = {(r.source, r.lang, r.topic): r.factor / cells["factor"].max() for r in cells.itertuples()}
+        got = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mixing.probabilities(w, rounds=rounds).collect()}
+        assert got == pytest.approx(want)
 
 
 def test_sampled_shares_follow_probabilities(spark):
