@@ -12,9 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from compare import duck, rows
-from millrace.llm import decontaminate, minhash, mixing, neighbours, pii, quality, queries, secrets, token_files
+from millrace.llm import mixing, neighbours, pii, quality, queries, secrets, token_files
 from millrace.llm.common import table
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -275,26 +274,3 @@ def test_token_files_have_page_indexes_and_dictionaries(spark):
                 column = meta.row_group(g).column(c)
                 assert column.has_column_index and column.has_offset_index
                 assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings)
-
-
-# the pipeline
-
-
-def test_pipeline_stages_by_brute_force(spark):
-    docs = table(spark, SF, "documents")
-    good = corpus_pipeline.good(spark, docs, SF)
-    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, table(spark, SF, "labels"))).collect()}
-    assert sort(r["doc_id"] for r in good.collect()) == sort(i for i, s in scores.items() if s >= 0.7)
-    distinct = corpus_pipeline.distinct(spark, good, SF)
-    kept = {r["doc_id"] for r in minhash.near_duplicates(good).where("kept").collect()}
-    assert {r["doc_id"] for r in distinct.collect()} == kept
-    clean = corpus_pipeline.unleaked(spark, distinct, SF)
-    hit = {r["doc_id"] for r in decontaminate.search(distinct, table(spark, SF, "benchmark")).where("n_hit > 0").collect()}
-    assert {r["doc_id"] for r in clean.collect()} == kept - hit
-    drawn = corpus_pipeline.mix(spark, clean, SF)
-    w = mixing.weighed(clean)
-    want = {r["doc_id"] for r in mixing.sample(w, mixing.probabilities(w, exponent=0.7, rate=1.0)).where("sampled").collect()}
-    assert {r["doc_id"] for r in drawn.collect()} == want
-    for stage in (good, distinct, clean, drawn):
-        assert stage.columns == docs.columns
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == want
