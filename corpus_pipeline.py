@@ -6,6 +6,14 @@ decontaminate  documents that hold a ten-word window of a benchmark item go
 mix          documents are drawn so that sources, languages and topics approach
              tempered shares; a class at or below its target stays whole
 tokens       the rest is encoded into token files and described from them
+
+Defined results: null and empty texts are scored as texts without a difference,
+are linked with nothing, hold no window, weigh no tokens, and are encoded as the
+end id alone; null languages and sources are classes of their own; texts of any
+length go through whole; of repeated rows one stays, and rows without doc_id,
+which nothing could be traced to, go in near_dedup; equal scores and draws are
+treated alike; further columns stay, whatever their names, up to the last stage;
+an empty table gives an empty result, and so does an empty stage.
 """
 
 from __future__ import annotations
