@@ -20,7 +20,8 @@ of the tokens have their own features hidden in training, so that the edges
 carry weight.  Documents are labelled one by one, whole, inside tasks; skip
 edges are one per token and form, not one per pair.
 
-Defined results: null texts are empty ones; every row gives one row, repeated
+Defined results: null texts are empty ones; texts of any length are searched whole;
+spans of one start are listed by kind, and equally likely labels go to the first; every row gives one row, repeated
 doc_ids included; an empty table gives an empty result (and a field that adds
 nothing); further columns are ignored.
 """

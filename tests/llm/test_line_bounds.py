@@ -46,3 +46,60 @@ def test_bounds_agree_again_inside_a_run():
         shared += sum(c.count("\n") + 1 for c in a & b if c.count("\n"))
         total += 12
     assert shared > 0.6 * total
+
+
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    """The splitmix finaliser on whole numbers."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def line_code(line):
+    """The documented sum over (place, byte), with the same random numbers, for one line alone."""
+    from millrace.llm.wordcode import _NUMBERS, BASE, PLACES
+
+    base, raw = int(BASE), line.encode()
+    total = sum(int(_NUMBERS[i * 256 + b]) if i < PLACES else mixed(mixed((i * 256 + b) * base & M64)) for i, b in enumerate(raw))
+    return mixed((total + len(raw) * base) & M64)
+
+
+def bounds_by_rule(text):
+    """Ends of chunks as the module's text says, line by line."""
+    own = text.split("\n")
+    n, base = len(own), int(lines.BASE)
+    ends = [mixed(line_code(x)) % lines.MEAN_LINES == 0 for x in own]
+    starts = [mixed((mixed(line_code(x)) + base) & M64) % lines.MEAN_LINES == 0 for x in own]
+    cuts, before = [], 0
+    for i in range(1, n):  # a chunk may end before line i
+        if (ends[i - 1] or starts[i]) and i - before >= lines.LEAST_LINES and n - i >= lines.LEAST_LINES and i >= lines.LEAST_LINES:
+            cuts.append(i)
+            before = i
+    out, before = [], 0
+    for cut in [*cuts, n]:
+        while cut - before > lines.MOST_LINES and cut - before - lines.MOST_LINES >= lines.LEAST_LINES:
+            before += lines.MOST_LINES
+            out.append(before)
+        out.append(cut)
+        before = cut
+    return out
+
+
+def test_bounds_follow_the_rule_line_by_line():
+    rng = random.Random(9)
+    made = [*texts(60, 5), "", "x", "same\n" * 300, "\n" * 130, "\n".join(rng.choice("abcdé") * rng.randint(0, 90) for _ in range(400)), "long " * 40 + "\nb\nc"]
+    start, end, code = lines.chunk_spans(lines.line_spans(pa.array(made, pa.string())))
+    want, at = [], 0
+    for t in made:
+        want += [at + e for e in bounds_by_rule(t)]
+        at += t.count("\n") + 1
+    assert end.tolist() == want and start.tolist() == [0, *want[:-1]]
+    every = "\n".join(made).split("\n")
+    held: dict = {}
+    for a, b, c in zip(start.tolist(), end.tolist(), code.tolist(), strict=True):
+        assert held.setdefault(c, tuple(every[a:b])) == tuple(every[a:b])
+    assert len(held) == len(set(held.values()))
+    assert max(end - start) <= lines.MOST_LINES + lines.LEAST_LINES - 1
