@@ -88,3 +88,51 @@ def sole_owner(rows: DataFrame, shared_id: str, newest_first: list[Column]) -> D
     nth = F.row_number().over(Window.partitionBy(shared_id).orderBy(*newest_first))
     held = rows.where(F.col(shared_id).isNotNull()).withColumn(shared_id, F.when(nth == 1, F.col(shared_id)))
     return held.unionByName(rows.where(F.col(shared_id).isNull()))
+
+
+def switched(base: DataFrame, staged: DataFrame, slice_key: str) -> DataFrame:
+    """Staged rows take the place of the current ones of their slices; those stay as rows that are not current."""
+    fresh = staged.select(F.col(slice_key).alias("__slice")).distinct().withColumn("__new", F.lit(True))
+    old = base.join(fresh, F.col(slice_key).eqNullSafe(F.col("__slice")), "left")
+    old = old.withColumn("is_current", F.col("is_current") & F.col("__new").isNull()).drop("__slice", "__new")
+    return old.unionByName(staged.withColumn("is_current", F.lit(True)))
+
+
+def repaired(canonical: DataFrame, provider: DataFrame, register: DataFrame) -> DataFrame:
+    """entity, canonical_id, how of provider rows (entity, register_id, native_id): by register id, else an adopted row of the same native id, else new.
+
+    canonical: canonical_id, register_id, native_id.  New ids hang on the entity alone, so that a rerun gives the same ones.
+    """
+    by_register = canonical.where("register_id is not null").groupBy("register_id").agg(F.min("canonical_id").alias("__r"))
+    by_native = canonical.where("register_id is null and native_id is not null").groupBy("native_id").agg(F.min("canonical_id").alias("__n"))
+    known = register.select("register_id").distinct()
+    rows = provider.join(known.withColumn("__known", F.lit(True)), "register_id", "left").join(by_register, "register_id", "left").join(by_native, "native_id", "left")
+    how = F.when(F.col("__known") & F.col("__r").isNotNull(), "register").when(F.col("__n").isNotNull(), "adopted").otherwise("created")
+    made = F.concat(F.lit("new-"), F.substring(F.sha2(F.col("entity").cast("string"), 256), 1, 16))
+    given = F.when(how == "register", F.col("__r").cast("string")).when(how == "adopted", F.col("__n").cast("string")).otherwise(made)
+    return rows.select("entity", given.alias("canonical_id"), how.alias("how"))
+
+
+def by_confidence(rows: DataFrame, key: str, steps: list[tuple[str, DataFrame, float]], value: str, manual: DataFrame | None = None) -> DataFrame:
+    """key, value, source, confidence: the value of the source with the highest confidence that has one; a manual one is never moved.
+
+    steps: (source, table of key and value with one row a key, confidence).
+    """
+    listed = ([("manual", manual, 1.0)] if manual is not None else []) + sorted(steps, key=lambda s: -s[2])
+    out = rows.select(key)
+    picks = []
+    for i, (name, table, sure) in enumerate(listed):
+        out = out.join(table.select(F.col(key), F.col(value).alias(f"__v{i}")), key, "left")
+        picks.append(F.when(F.col(f"__v{i}").isNotNull(), F.struct(F.col(f"__v{i}").alias(value), F.lit(name).alias("source"), F.lit(float(sure)).alias("confidence"))))
+    best = F.coalesce(*picks)
+    return out.select(key, best[value].alias(value), best["source"].alias("source"), best["confidence"].alias("confidence"))
+
+
+def counterparts(rows: DataFrame, others: DataFrame, splits: DataFrame) -> DataFrame:
+    """entity, counterpart: the one row of the other provider with the same alias, where it may move.
+
+    rows: entity, alias; others: counterpart, alias; splits: counterparts that other mappings or events hold in place.
+    """
+    alone = others.groupBy("alias").agg(F.countDistinct("counterpart").alias("n"), F.min("counterpart").alias("counterpart")).where("n = 1")
+    asked = rows.groupBy("alias").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1")
+    return asked.select("alias", "entity").join(alone.select("alias", "counterpart"), "alias").join(splits.select("counterpart").distinct(), "counterpart", "left_anti").select("entity", "counterpart")

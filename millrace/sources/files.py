@@ -22,8 +22,8 @@ def read_register(spark: SparkSession, path: str, kind: str, id_column: str, pro
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One JSON document for each file."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """One JSON document for each file, at any depth below the path."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(path, multiLine=True)
 
 
 def merged_pages(pages: DataFrame, keys: list[str], number: str, first: list[str], maps: list[str]) -> DataFrame:
@@ -48,3 +48,46 @@ def write_slices(df: DataFrame, path: str, slice_key: str) -> None:
 def content_key(*columns: str) -> Column:
     """SHA-256 of a row's columns as JSON in the order of their names."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def working_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, below spark.checkpoint.dir; only a local session may do without that setting."""
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = f"file://{tempfile.gettempdir()}"
+    return f"{top.rstrip('/')}/millrace-files/{uuid.uuid4().hex}"
+
+
+def write_documents(rows: DataFrame, path: str, parts: int = 4) -> None:
+    """Rows as JSON arrays, one document for each file."""
+    row = F.to_json(F.struct(*rows.columns))
+    dealt = rows.select(row.alias("row"), F.pmod(F.xxhash64(row), F.lit(parts)).alias("part"))
+    arrays = dealt.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)  # a folder, and so a file, for each part
+
+
+# What a schedule says of a match, and the status it stands for.
+STATUSES = {"ft": "completed", "finished": "completed", "completed": "completed", "fixture": "scheduled", "scheduled": "scheduled", "postponed": "postponed", "abandoned": "abandoned", "live": "live"}
+
+
+def schedule(rows: DataFrame) -> DataFrame:
+    """match_id, status, kickoff of schedule rows (id, status, start: all text); unknown statuses are unknown, bad numbers and times null."""
+    known = F.create_map(*(F.lit(x) for pair in STATUSES.items() for x in pair))
+    return rows.select(F.col("id").try_cast("long").alias("match_id"), F.coalesce(F.try_element_at(known, F.lower(F.trim("status"))), F.lit("unknown")).alias("status"), F.col("start").try_cast("timestamp").alias("kickoff"))
+
+
+def club_ids(clubs: Column, ids: Column) -> Column:
+    """Ids of the clubs in a comma list, in its order, by a map from name to id; names without one are left out."""
+    names = F.transform(F.split(clubs, ","), lambda x: F.trim(x))
+    return F.filter(F.transform(names, lambda x: F.try_element_at(ids, x)), lambda x: x.isNotNull())
+
+
+def unwrapped(text: Column, schema: str, version: int) -> Column:
+    """The payload of a JSON wrapper {version, payload}; null for another version, without one, or for what is no JSON."""
+    whole = F.from_json(text, f"version int, payload {schema}", {"mode": "PERMISSIVE"})
+    return F.when(whole["version"] == version, whole["payload"])
