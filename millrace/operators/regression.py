@@ -65,3 +65,46 @@ def ridge(df: DataFrame, predictors: list[str], target: str, *, key: Column, fol
     spread = whole[-1, -1] - whole[0, -1] ** 2 / n
     w = _solve(whole, float(alphas[best]))
     return {"alpha": float(alphas[best]), "intercept": float(w[0]), "coefficients": dict(zip(predictors, map(float, w[1:]), strict=True)), "r2": float(1 - errors[best] / spread) if spread else None, "rmse": float((errors[best] / n) ** 0.5), "n": n}
+
+
+# Sizes from which a fit is allowed and from which it needs no warning.
+LEAST_ROWS, FEW_ROWS, MANY_PREDICTORS, CLOSE = 30, 50, 6, 0.9
+
+
+def out_of_fold(df: DataFrame, predictors: list[str], target: str, *, fold: Column, alpha: float) -> DataFrame:
+    """Usable rows with predicted (by a fit without their fold) and residual.
+
+    Only the folds' sums of products come to the driver, and only one set of
+    coefficients for each fold goes back.
+    """
+    rows = df.dropna(subset=[*predictors, target]).withColumn("__fold", fold.cast("long"))
+    grams = _gram(rows, predictors, target, "__fold")
+    whole = sum(grams.values())
+    fits = [(f, *map(float, _solve(whole - g, alpha))) for f, g in grams.items()]
+    names = [f"__w{i}" for i in range(len(predictors) + 1)]
+    table = df.sparkSession.createDataFrame(fits, ", ".join(["__fold long", *(f"{n} double" for n in names)]))
+    value = F.col("__w0")
+    for n, p in zip(names[1:], predictors, strict=True):
+        value = value + F.col(n) * F.col(p)
+    out = rows.join(F.broadcast(table), "__fold").withColumn("predicted", value)  # one row a fold
+    return out.withColumn("residual", F.col(target) - F.col("predicted")).drop("__fold", *names)
+
+
+def fit_quality(predicted: DataFrame, target: str) -> DataFrame:
+    """One row: n, r2, mae and rmse of out_of_fold() rows."""
+    square = F.col("residual") * F.col("residual")
+    return predicted.agg(F.count("*").alias("n"), (1 - F.sum(square) / F.nullif(F.var_pop(target) * F.count("*"), F.lit(0.0))).alias("r2"), F.avg(F.abs("residual")).alias("mae"), F.sqrt(F.avg(square)).alias("rmse"))
+
+
+def fit_checks(df: DataFrame, predictors: list[str], target: str, known: set[str]) -> DataFrame:
+    """One row: rows, usable, dropped and warnings; unknown or repeated predictors, the target among them, or too few usable rows are errors."""
+    if not predictors or len(set(predictors)) < len(predictors) or target in predictors or {target, *predictors} - known:
+        raise ValueError("predictors must be known, different, and not the target")
+    usable = F.count_if(F.greatest(*(F.col(c).isNull().cast("int") for c in [*predictors, target])) == 0) if len(predictors) else F.count("*")
+    counts = df.agg(F.count("*").alias("rows"), usable.alias("usable")).withColumn("dropped", F.col("rows") - F.col("usable"))
+    n = counts.first()["usable"]
+    if n < LEAST_ROWS:
+        raise ValueError(f"fewer than {LEAST_ROWS} usable rows: {n}")
+    close = [f"close:{r['a']}|{r['b']}" for r in correlations(df.dropna(subset=[*predictors, target]), predictors, CLOSE).collect()] if len(predictors) > 1 else []
+    said = [*(["few_rows"] if n < FEW_ROWS else []), *(["many_predictors"] if len(predictors) > MANY_PREDICTORS else []), *close]
+    return counts.withColumn("warnings", F.array(*map(F.lit, said)).cast("array<string>"))

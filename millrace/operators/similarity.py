@@ -56,17 +56,26 @@ def two_nearest(rows: DataFrame, centroids: DataFrame, key: str, vector: str, la
     return met.select(key, F.col("__r")[0]["label"].alias("primary"), F.try_element_at("__r", F.lit(2))["label"].alias("secondary"), (F.try_element_at("__r", F.lit(2))["d"] - F.col("__r")[0]["d"]).alias("margin"))
 
 
-def clustered(rows: DataFrame, key: str, vector: str, choices: range, seed: int = 42, penalty: float = 0.015) -> DataFrame:
-    """key, cluster for the number of clusters with the best silhouette less `penalty` for each cluster."""
+def clustered(rows: DataFrame, key: str, vector: str, choices: range | list[int], seed: int = 42, penalty: float = 0.015, starts: int = 10, least: int = 1) -> DataFrame:
+    """key, cluster for the number of clusters with the best silhouette less `penalty` for each cluster.
+
+    Of `starts` runs for a number the one with the least cost counts; a number whose
+    smallest cluster has fewer than `least` rows is left out.  Without any number, or
+    with none above zero, all rows are in one cluster.
+    """
     given = rows.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
-    best, chosen = None, None
+    best, chosen = 0.0, None
     for k in choices:
-        model = KMeans(k=k, seed=seed, maxIter=30).fit(given)
+        model = min((KMeans(k=k, seed=seed + i, maxIter=30).fit(given) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+        if min(model.summary.clusterSizes) < least:
+            continue
         out = model.transform(given)
         worth = ClusteringEvaluator().evaluate(out) - penalty * k
-        if best is None or worth > best:
+        if worth > best:
             best, chosen = worth, out
     given.unpersist()  # the chosen model is applied to the rows anew
+    if chosen is None:
+        return rows.select(key, F.lit(0).alias("cluster"))
     return chosen.select(key, F.col("prediction").alias("cluster"))
 
 

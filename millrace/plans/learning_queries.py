@@ -57,7 +57,7 @@ def nearest_two_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_archetypes(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.clustered(read(spark, d, "embeddings"), "vec_id", "embedding", range(3, 7))
+    return similarity.clustered(read(spark, d, "embeddings"), "vec_id", "embedding", range(3, 7), starts=2, least=6)
 
 
 @query()
@@ -85,3 +85,25 @@ def ridge_fit(spark: SparkSession, d: str) -> DataFrame:
     fit = regression.ridge(read(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", key=F.concat_ws(":", "l_orderkey", "l_linenumber"))
     rows = [(k, v, fit["alpha"], fit["r2"], fit["n"]) for k, v in {"intercept": fit["intercept"], **fit["coefficients"]}.items()]
     return spark.createDataFrame(rows, "term string, weight double, alpha double, r2 double, n long")
+
+
+_FOLDS = """s as (select *, l_orderkey % 5 as f, l_quantity::double as x, l_extendedprice::double as y from lineitem), g as (select f, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy from s group by 1),
+    o as (select a.f, sum(b.n) as n, sum(b.sx) / sum(b.n) as mx, sum(b.sy) / sum(b.n) as my, sum(b.sxx) as sxx, sum(b.sxy) as sxy from g a join g b on a.f <> b.f group by 1),
+    w as (select f, mx, my, (sxy - n * mx * my) / ((sxx - n * mx * mx) * (1 + 10.0::double / n)) as w from o), p as (select l_orderkey, l_linenumber, y, my + w * (x - mx) as predicted from s join w using (f))"""
+
+
+def _out_of_fold(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_extendedprice").cast("double").alias("l_extendedprice"))
+    return regression.out_of_fold(rows, ["l_quantity"], "l_extendedprice", fold=F.col("l_orderkey") % 5, alpha=10.0)
+
+
+@query(f"with {_FOLDS} select l_orderkey, l_linenumber, round(predicted, 4) as predicted, round(y - predicted, 4) as residual from p")
+def ridge_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Every line's price predicted by a ridge fit on the other four folds."""
+    return _out_of_fold(spark, d).select("l_orderkey", "l_linenumber", F.round("predicted", 4).alias("predicted"), F.round("residual", 4).alias("residual"))
+
+
+@query(f"with {_FOLDS} select count(*) as n, round(1 - sum((y - predicted) ** 2) / (var_pop(y) * count(*)), 9) as r2, round(avg(abs(y - predicted)), 6) as mae, round(sqrt(avg((y - predicted) ** 2)), 6) as rmse from p")
+def ridge_quality(spark: SparkSession, d: str) -> DataFrame:
+    q = regression.fit_quality(_out_of_fold(spark, d), "l_extendedprice")
+    return q.select("n", F.round("r2", 9).alias("r2"), F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"))
