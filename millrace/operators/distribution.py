@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import join_same, quantiles
+from .ranking import join_same, midrank_percentile, quantiles
 
 
 def _back(df: DataFrame, stats: DataFrame, groups: list[str]) -> DataFrame:
@@ -96,3 +96,14 @@ def min_max_heat(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     share = (F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")) * 100
     heat = F.when(F.col("__high") == F.col("__low"), 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)))
     return ends.withColumn(out, F.when(F.col(value).isNotNull(), heat)).drop("__low", "__high")
+
+
+def with_percentiles(df: DataFrame, keys: list[str], group: str, columns: dict[str, str], eligible: Column) -> DataFrame:
+    """Adds mid-rank percentiles within the group among eligible rows: one pass for all columns (column -> name of its percentile).
+
+    keys identify a row.
+    """
+    long = unpivot(df.where(F.coalesce(eligible, F.lit(False))), [*keys, group], list(columns))
+    ranked = midrank_percentile(long, [group, "metric"], "value", "pct")
+    wide = ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("metric") == c, F.col("pct"))).alias(out) for c, out in columns.items()))
+    return join_same(df, wide, keys, "left")

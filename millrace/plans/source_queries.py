@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rates
 from ..operators import cohort, merge
-from ..operators.ranking import midrank_percentile
+from ..operators.distribution import with_percentiles
 from ..sources import files
 from . import season_metrics as sm
 from . import season_queries
@@ -117,8 +117,7 @@ _ASKED = ["xg_per_90", "tackles_per_90", "xg_per_90", "pass_accuracy"]
 def bounded_projection(spark: SparkSession, d: str) -> DataFrame:
     """Only the asked metrics, each once, with their percentiles, of a cohort that is within the limits."""
     rows, asked = cohort.guarded(season_queries.eligible(spark, d), _ASKED, set(sm.METRICS), most_rows=10**9, most_cells=10**9)
-    for m in asked:
-        rows = midrank_percentile(rows, ["position"], m, f"{m}_pct")
+    rows = with_percentiles(rows, ["entity"], "position", {m: f"{m}_pct" for m in asked}, F.lit(True))
     return rows.select("entity", "position", *(F.round(c, 6).alias(c) for m in asked for c in (m, f"{m}_pct")))
 
 
