@@ -45,7 +45,7 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 #: random numbers for the first places of a word; those of later places come from scramble()
-PLACES = 64
+PLACES = 256
 _NUMBERS = np.random.default_rng(0x5EED).integers(0, 1 << 64, PLACES * 256, dtype=np.uint64)
 
 
