@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, prepare, stored
+from .common import blocks, prepare, stored, tidied
 from .wordcode import ALNUM, BASE, Words, scramble, sequence_codes, split
 
 WINDOW = 10
@@ -164,7 +164,7 @@ def _pass(given: DataFrame, handed: Broadcast) -> DataFrame:
             items = pa.array([sorted(named.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(words.count), *spans, items], [*KEY, "n_words", "span_starts", "span_ends", "item_ids"])
 
-    return given.mapInArrow(run, "__id long, __digest string, " + FOUND)
+    return given.mapInArrow(tidied(run), "__id long, __digest string, " + FOUND)
 
 
 def _keyed(docs: DataFrame, several: bool) -> list[Column]:
@@ -208,7 +208,7 @@ def _merged(rows: DataFrame) -> DataFrame:
             spans = [pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(n_words, pa.int64()), *spans, pa.array(items, pa.list_(pa.string()))], [*KEY, "n_words", "span_starts", "span_ends", "item_ids"])
 
-    return rows.mapInArrow(run, "__id long, __digest string, " + FOUND)
+    return rows.mapInArrow(tidied(run), "__id long, __digest string, " + FOUND)
 
 
 def _same_key(a: DataFrame, b: DataFrame) -> Column:
@@ -246,4 +246,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, slice_
             _, _, stretches, _ = _occurrences(split(batch.column(at), ALNUM, True), first.value)
             yield batch.filter(pa.array(np.diff(stretches) == 0))
 
-    return given.mapInArrow(run, given.schema).select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(names)))
+    return given.mapInArrow(tidied(run), given.schema).select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(names)))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, meet, prepare, stored
+from .common import blocks, meet, prepare, stored, tidied
 from .wordcode import BASE, Words, scramble
 
 #: odds against a bound before a line, and against one after it
@@ -98,7 +98,7 @@ def _texts_with(given: DataFrame, work, schema: str) -> DataFrame:
             nth = np.arange(len(start)) - np.searchsorted(text, text)
             yield work(batch, lines, start, end, code.view(np.int64), text, nth)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidied(run), schema)
 
 
 def chunks(docs: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, meet, prepare, stored
+from .common import blocks, meet, prepare, stored, tidied
 from .components import components
 from .wordcode import BASE, BY_BLANKS, Words, codes_at, scramble, sequence_codes, split
 
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("address"), pa.array(n), pa.array(digests(words), pa.binary()), halves], ["doc_id", "address", "n_shingles", "digest", "halves"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _address().alias("address"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id long, address string, n_shingles long, digest binary, halves array<long>")
+    return given.mapInArrow(tidied(run), "doc_id long, address string, n_shingles long, digest binary, halves array<long>")
 
 
 def full_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def full_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("digest"), text], ["node", "digest", "words"]).filter(mine)
 
     text = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    return nodes.join(text, "node").select("node", "digest", "text").mapInArrow(run, "node long, digest binary, words string").dropDuplicates(["node", "digest"])
+    return nodes.join(text, "node").select("node", "digest", "text").mapInArrow(tidied(run), "node long, digest binary, words string").dropDuplicates(["node", "digest"])
 
 
 def shingles_of(texts: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def shingles_of(texts: DataFrame) -> DataFrame:
             codes, first = shingle_sets(split(batch.column("words"), BY_BLANKS, False))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(codes.view(np.int64)))], ["node", "shingles"])
 
-    return texts.select("node", "words").mapInArrow(run, "node long, shingles array<long>")
+    return texts.select("node", "words").mapInArrow(tidied(run), "node long, shingles array<long>")
 
 
 def similar(a: pa.Array, b: pa.Array, percent: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     a = texts.select(F.col("node").alias("u"), F.col("words").alias("a"))
     b = texts.select(F.col("node").alias("v"), F.col("words").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(tidied(run), "u long, v long").distinct()
 
 
 def table_keys(classes: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, stored, uniform
+from .common import prepare, stored, tidied, uniform
 
 DIMS = 8  # even, so that the chi-square distribution has a closed form
 LEAF = 64
@@ -167,7 +167,7 @@ def index(vectors: DataFrame, *, sample_rows: int = 200_000, part_rows: int = 40
             projected = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, length) @ base
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in projected.T], [f"p{i}" for i in range(DIMS)])
 
-    drawn = given.where(uniform(F.col("vec_id"), "index") < chance).select("embedding").mapInArrow(project, ", ".join(f"p{i} double" for i in range(DIMS)))
+    drawn = given.where(uniform(F.col("vec_id"), "index") < chance).select("embedding").mapInArrow(tidied(project), ", ".join(f"p{i} double" for i in range(DIMS)))
     sample = drawn.limit(sample_rows).toPandas().to_numpy(np.float64)  # DIMS numbers a row: 13 MB at most
     depth = max(0, math.ceil(math.log2(max(n, 1) / part_rows)))
     depth = min(depth, max(0, int(math.log2(max(len(sample), 1) / 8))))
@@ -179,7 +179,7 @@ def index(vectors: DataFrame, *, sample_rows: int = 200_000, part_rows: int = 40
             projected = e.flatten().to_numpy(zero_copy_only=False).reshape(-1, length) @ base
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), e, pa.array(list(projected), pa.list_(pa.float64())), pa.array(cells.of(projected).astype(np.int32))], ["vec_id", "embedding", "projected", "cell"])
 
-    placed = stored(given.mapInArrow(place, "vec_id long, embedding array<double>, projected array<double>, cell int"))
+    placed = stored(given.mapInArrow(tidied(place), "vec_id long, embedding array<double>, projected array<double>, cell int"))
     axes = range(DIMS)
     box = placed.groupBy("cell").agg(F.count("*").alias("n"), *(f(F.col("projected")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in axes))
     boxes = stored(box.select("cell", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"), F.array(*(f"low{i}" for i in axes)).alias("low"), F.array(*(f"high{i}" for i in axes)).alias("high")))
@@ -229,7 +229,7 @@ def _near_cells(seek: DataFrame, boxes: DataFrame, quantile: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*near.columns, pa.array(cell[at].astype(np.int32)), pa.array(parts[at].astype(np.int32))], [*near.schema.names, "q_cell", "parts"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seek.schema.fields)
-    return seek.mapInArrow(run, f"{schema}, q_cell int, parts int")
+    return seek.mapInArrow(tidied(run), f"{schema}, q_cell int, parts int")
 
 
 def nearest(vectors: DataFrame, queries: Column, *, k: int = 10, confidence: float = 0.999, sample_rows: int = 200_000, part_rows: int = 4096, query_rows: int = 4096) -> DataFrame:

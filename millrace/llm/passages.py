@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, meet, prepare, release, stored
+from .common import blocks, meet, prepare, release, stored, tidied
 from .wordcode import BY_BLANKS, Words, codes_at, split
 
 WINDOW = 20
@@ -81,7 +81,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             times = np.diff(np.append(first, len(code))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(code[first].view(np.int64)), batch.column("doc_id").take(pa.array(text[first])), pa.array(times)], ["code", "doc_id", "times"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "code long, doc_id long, times int")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(tidied(run), "code long, doc_id long, times int")
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 leads[a[k]] = leads[b[k]]
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(ids), batch.column("tag").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(leads)], ["h", "g", "doc_id", "tag", "start", "leads"])
 
-    return _keyed(docs).join(wanted.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "codes").mapInArrow(run, "h long, g long, doc_id long, tag long, start int, leads boolean")
+    return _keyed(docs).join(wanted.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "codes").mapInArrow(tidied(run), "h long, g long, doc_id long, tag long, start int, leads boolean")
 
 
 def repeats(found: DataFrame) -> DataFrame:
@@ -185,4 +185,4 @@ def dedup(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return keyed.join(gone.hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "whole").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return keyed.join(gone.hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "starts", "whole").mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept string")

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, uniform
+from .common import prepare, tidied, uniform
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0 is outside
@@ -305,4 +305,4 @@ def find(docs: DataFrame, field: Field, *, sure: float = 0.9) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, kind), pa.array(added, kind)], ["doc_id", "base", "added"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(run, SCHEMA)
+    return given.mapInArrow(tidied(run), SCHEMA)

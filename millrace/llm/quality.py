@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, prepare, uniform
+from .common import blocks, prepare, tidied, uniform
 
 BLOCK = 1024
 BLOCK_BYTES = 4 << 20
@@ -202,7 +202,7 @@ def _scored(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("__id"), n_bytes, pa.array(difference), pa.array(share), pa.array(model.probability(difference, share)), *batch.columns[2:]], names)
 
     given = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), *(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keep)))
-    return given.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
+    return given.mapInArrow(tidied(run), ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True)))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -233,4 +233,4 @@ def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             yield batch.filter(pa.array(good))
 
     given = docs.select(*columns)
-    return given.mapInArrow(run, given.schema).select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(names)))
+    return given.mapInArrow(tidied(run), given.schema).select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(names)))

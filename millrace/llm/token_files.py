@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, prepare, scratch_dir
+from .common import blocks, prepare, scratch_dir, tidied
 
 LAYOUT = {
     "parquet.writer.version": "v2",
@@ -44,9 +44,9 @@ LAYOUT = {
     "compression": "zstd",
 }
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PART_BYTES = 256 << 20
-MEMO_BYTES = 16 << 20
+MEMO_BYTES = 8 << 20
 # The steps of the word-wise BPE files that are known to part texts at white space.
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -108,14 +108,18 @@ class Encoder:
         """Of distinct pieces; those of earlier blocks are remembered up to MEMO_BYTES."""
         if self.known.nbytes + self.coded.ids.nbytes + 2 * self.coded.size.nbytes > MEMO_BYTES:
             self.forget()
-        new = pieces.filter(pc.invert(pc.is_in(pieces, value_set=self.known)))
-        if len(new):
+        at = pc.index_in(pieces, value_set=self.known)
+        fresh = pc.is_null(at).to_numpy(zero_copy_only=False)
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        if fresh.any():
+            new = pieces.filter(pa.array(fresh))
             listed = new.to_pylist()
             made = self.pieces.encode_batch_fast([" ".join(listed[i : i + 4096]) for i in range(0, len(listed), 4096)], add_special_tokens=False)
             ids = np.concatenate([np.array(c.ids, np.int32) for c in made])
+            place[fresh] = len(self.known) + np.arange(len(new))
             self.coded += Coded(ids, np.diff(np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])))
             self.known = pa.concat_arrays([self.known, new])
-        return self.coded.take(pc.index_in(pieces, value_set=self.known).to_numpy())
+        return self.coded.take(place)
 
     def distinct_chunks(self, chunks: pa.Array) -> Coded:
         plain = pc.match_substring_regex(chunks, f"^[{LETTERS}]*[{MARKS}]*$")
@@ -179,7 +183,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
         code.forget()  # idle workers hold nothing
 
     dealt = given.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(path)
+    dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(tidied(encode), SCHEMA).write.options(**LAYOUT).parquet(path)
     return path
 
 
@@ -208,6 +212,6 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), batch.column("local_start"), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
     files = read_tokens(spark, path)
-    rows = files.select("doc_id", "part", "local_start", "ids").mapInArrow(checksum, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    rows = files.select("doc_id", "part", "local_start", "ids").mapInArrow(tidied(checksum), "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
     # one row for each part file: as small as the list of files that the driver holds anyway
     return rows.join(F.broadcast(starts(files.select("part", "n_tokens"))), "part").select("doc_id", (F.col("part_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
