@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+import xxhash
 
 from millrace.llm import lines
 
@@ -59,12 +60,7 @@ def mixed(x):
 
 
 def line_code(line):
-    """The documented sum over (place, byte), with the same random numbers, for one line alone."""
-    from millrace.llm.wordcode import _NUMBERS, BASE, PLACES
-
-    base, raw = int(BASE), line.encode()
-    total = sum(int(_NUMBERS[i * 256 + b]) if i < PLACES else mixed(mixed((i * 256 + b) * base & M64)) for i, b in enumerate(raw))
-    return mixed((total + len(raw) * base) & M64)
+    return xxhash.xxh3_64_intdigest(line.encode())
 
 
 def bounds_by_rule(text):
