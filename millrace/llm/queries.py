@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, minhash, mixing, neighbours, pair_sql, passages, pii, quality, secrets, token_files
+from . import decontaminate, lines, minhash, mixing, neighbours, pair_sql, passages, pii, quality, repeat_sql, runs, secrets, token_counts, token_files, whitening
 from .common import scratch_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,8 @@ ORACLES: dict[str, str] = {}
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+BUDGET = 512
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -161,3 +163,40 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write the files, and describe each document from the files."""
     path = token_files.write_tokens(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
     return token_files.token_index(spark, path)
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whiten all embeddings; the first four components of each."""
+    return whitening.components(table(spark, sf_dir, "embeddings"), k=4)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by doc_id, made periodic from some word on; the others as they are."""
+    code = F.crc32(F.col("doc_id").cast("string"))
+    # only the texts of that tenth are cut into words
+    rows = docs.select("doc_id", "text", F.floor(code / 10).alias("g"), F.when(code % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("ws"))
+    rows = rows.withColumn("a", F.when(F.size("ws") > 0, F.col("g") % F.size("ws")).cast("int"))
+    left = (F.size("ws") - F.col("a")).cast("int")
+    period = (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int")
+    rows = rows.select("doc_id", "text", "ws", "a", left.alias("left"), period.alias("p"))
+    again = F.slice(F.flatten(F.array_repeat(F.slice("ws", F.col("a") + 1, F.col("p")), F.ceil(F.col("left") / F.col("p")).cast("int"))), 1, F.col("left"))
+    planted = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a")), again), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find the periodic runs of all documents, of which a tenth is made periodic first, and collapse them."""
+    return runs.described(runs.find(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+ORACLES["op12_periodic_runs"] = repeat_sql.PERIODIC_RUNS
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store the token counts of every prefix of all documents and answer from the table what passes the budget and where it must be cut."""
+    path = token_counts.write_counts(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+    found = token_counts.answers(token_counts.read_counts(spark, path), BUDGET)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > BUDGET).alias("over_limit"), "fits_chars")
