@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import blocks, prepare, scratch_dir, tidied
 from .token_files import LAYOUT
+from .token_files import LETTERS as WORD_LETTERS
+from .token_files import MARKS as WORD_MARKS
 from .wordcode import scramble
 
 SCHEMA = "doc_id long, n_bytes long, counts array<int>"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 MOST_CHUNKS = 200_000
 LONGEST = 64
 NEVER = 1 << 60
@@ -49,6 +51,8 @@ LONG_CONTRACTIONS = (b"'re", b"'ve", b"'ll")
 CHUNK = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 TWO_BLANKS = re.compile(f"[{BLANKS}]{{2,}}")
 BLANK = re.compile(f"[{BLANKS}]")
+#: a blank at most, Latin letters, and ASCII marks without the apostrophe, which starts contractions: two pieces, of which either may be empty
+PLAIN = re.compile(rf"( ?[{WORD_LETTERS}]+)([{WORD_MARKS}]*)")
 
 
 class Lookup:
@@ -103,7 +107,7 @@ class Merges:
         for text, token in ids.items():
             if self.whole(token):
                 state = 0
-                for b in reversed(as_bytes([text])[0].tolist()):
+                for b in reversed(as_bytes(text).tolist()):
                     key = state << 8 | b
                     state = self.back.setdefault(key, len(token_at))
                     if state == len(token_at):
@@ -191,21 +195,24 @@ class Merges:
                     break
         return np.array(count[1:], np.int32)
 
-    def counts(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
-        """walk() of many distinct pieces; short ones together, each of their common prefixes once."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
-        size = np.array([len(p) for p in pieces], np.int64)
+    def counts(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """walk() of many distinct pieces, which lie in `flat` in a row; short ones together, each of their common prefixes once."""
+        out, begin = np.zeros(len(flat), np.int32), np.cumsum(size) - size
         for k in np.flatnonzero(size > LONGEST):
-            out[k] = self.walk(pieces[k])
+            out[begin[k] : begin[k] + size[k]] = self.walk(flat[begin[k] : begin[k] + size[k]])
         short = np.flatnonzero((size > 0) & (size <= LONGEST))
         if not len(short):
             return out
-        size = size[short]
-        wide = np.zeros((len(short), int(size.max())), np.uint8)
+        size, begin = size[short], begin[short]
         row = np.repeat(np.arange(len(short)), size)
-        wide[row, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.concatenate([pieces[k] for k in short])
-        order = np.lexsort((size, np.ascontiguousarray(wide).view(f"S{wide.shape[1]}").ravel()))
-        wide, size, short = wide[order], size[order], short[order]
+        column = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        wide = np.zeros((len(short), int(size.max())), np.uint8)
+        place = np.repeat(begin, size) + column
+        wide[row, column] = flat[place]
+        order = np.lexsort((size, wide.view(f"S{wide.shape[1]}").ravel()))
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        wide, size = wide[order], size[order]
         same = np.zeros(wide.shape, bool)
         same[1:] = np.logical_and.accumulate(wide[1:] == wide[:-1], axis=1)
         at = np.arange(1, wide.shape[1] + 1)
@@ -236,8 +243,7 @@ class Merges:
             last, count = np.append(last, found), np.append(count, many)
             node[alive] = mine
             table[alive, level - 1] = count[mine]
-        for k, made, n in zip(short.tolist(), table, size.tolist(), strict=True):
-            out[k] = made[:n]
+        out[place] = table[rank[row], column]
         return out
 
 
@@ -254,10 +260,9 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
-def as_bytes(pieces: list[str]) -> list[np.ndarray]:
-    """The bytes of pieces that have one letter for each byte."""
-    flat = LETTERS[np.frombuffer("".join(pieces).encode("utf-16-le"), np.uint16)]
-    return np.split(flat, np.cumsum([len(p) for p in pieces])[:-1])
+def as_bytes(text: str) -> np.ndarray:
+    """The bytes of a text that has one letter for each byte."""
+    return LETTERS[np.frombuffer(text.encode("utf-16-le"), np.uint16)]
 
 
 class Counter:
@@ -295,31 +300,41 @@ class Counter:
 
     def learn(self, chunks: list[str]) -> None:
         """Work out the counts of distinct new chunks after each of their characters."""
-        pieces = self._pieces(chunks)
-        runs = [(k, m.group()) for k, m in enumerate(map(TWO_BLANKS.match, chunks)) if m]
-        every = list(dict.fromkeys(pieces))
+        met = list(map(PLAIN.fullmatch, chunks))
+        plain = [m.groups() for m in met if m]
+        others = [c for c, m in zip(chunks, met, strict=True) if not m]
+        pieces = [p.encode() for pair in plain for p in pair]
+        # of the others, the library says what their pieces are
+        cut = self._pieces(others) if others else []
+        raw = as_bytes("".join(cut)).tobytes()
+        ends = np.cumsum([len(p) for p in cut], dtype=np.int64).tolist()
+        pieces += [raw[i:j] for i, j in zip([0, *ends], ends)]
+        runs = [(k, m.group().encode()) for k, m in enumerate(map(TWO_BLANKS.match, others), len(plain)) if m]
+        every = list(dict.fromkeys(pieces + [r for _, r in runs]))
         number = {p: k for k, p in enumerate(every)}
-        raws = as_bytes(every) + [np.frombuffer(r.encode(), np.uint8) for _, r in runs]
-        made = self.merges.counts(raws)
-        for k, raw in enumerate(raws[: len(every)]):
-            if len(raw) == 3 and raw.tobytes() in LONG_CONTRACTIONS:  # its first two letters are not one piece
-                made[k] = np.array([1, 2, made[k][-1]], np.int32)
-        used = np.array([number[p] for p in pieces], np.int64)
-        size = np.array([len(raws[u]) for u in range(len(every))], np.int64)
-        total = np.array([m[-1] for m in made[: len(every)]], np.int64)
-        raw = np.frombuffer("".join(chunks).encode(), np.uint8)
-        bounds = np.concatenate([[0], np.cumsum([len(c.encode()) for c in chunks])])
-        ends = np.concatenate([[0], np.cumsum(size[used])])
-        sums = np.concatenate([[0], np.cumsum(total[used])])
-        flat, start = np.concatenate(made[: len(every)]), np.cumsum(size) - size
+        size = np.fromiter(map(len, every), np.int64, len(every))
+        start = np.cumsum(size) - size
+        flat = self.merges.counts(np.frombuffer(b"".join(every), np.uint8), size)
+        total = np.where(size > 0, flat[np.maximum(start + size, 1) - 1], 0)
+        used = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        chunks = [c for c, m in zip(chunks, met, strict=True) if m] + others
+        text = "".join(chunks).encode()
+        length = np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks))
+        bounds = np.concatenate([[0], np.cumsum(length)])
         n = size[used]
-        body = flat[np.repeat(start[used] - ends[:-1], n) + np.arange(len(raw))] + np.repeat(sums[:-1], n)
-        body = body - np.repeat(sums[np.searchsorted(ends, bounds[:-1])], np.diff(bounds))
-        for (k, run), counts in zip(runs, made[len(every) :], strict=True):  # until another character comes, all blanks are one piece
-            body[bounds[k] + len(run.encode()) - 1] = counts[-1]
-        char = np.ones(len(raw), bool)  # the last byte of a character
-        char[:-1] = (raw[1:] & 0xC0) != 0x80
-        self._keep(chunks, body[char].astype(np.int32), np.array([len(c) for c in chunks], np.int64))
+        sums = np.concatenate([[0], np.cumsum(total[used])])
+        ends = np.concatenate([[0], np.cumsum(n)])
+        body = flat[np.repeat(start[used] - ends[:-1], n) + np.arange(len(text))] + np.repeat(sums[:-1], n)
+        for c in LONG_CONTRACTIONS:  # their first two letters are not one piece
+            if c in number:
+                at = ends[:-1][used == number[c]]
+                body[at + 1] = sums[:-1][used == number[c]] + 2
+        body -= np.repeat(sums[np.searchsorted(ends, bounds[:-1])], length)
+        for k, run in runs:  # until another character comes, all blanks are one piece
+            body[bounds[k] + len(run) - 1] = total[number[run]]
+        char = np.ones(len(text), bool)  # the last byte of a character
+        char[:-1] = (np.frombuffer(text, np.uint8)[1:] & 0xC0) != 0x80
+        self._keep(chunks, body[char].astype(np.int32), np.fromiter(map(len, chunks), np.int64, len(chunks)))
 
     def _keep(self, keys: list, flat: np.ndarray, size: np.ndarray) -> None:
         self.number |= zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True)
