@@ -110,22 +110,48 @@ def without_rate_mark(label: Column) -> Column:
     return F.regexp_replace(label, r"\s*/\s*90$", "")
 
 
-def name_steps(a: Column, b: Column, allow_first_name: bool = False) -> Column:
-    """The likeness of two names by rules on their words; null where only their letters in sequence can tell, 0 for an empty name."""
-    plain = lambda c: F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), "[^0-9a-z]+", " "))
-    a, b = F.coalesce(plain(a), F.lit("")), F.coalesce(plain(b), F.lit(""))
-    x, y = F.split(a, " "), F.split(b, " ")
+@pandas_udf(StringType())
+def name_form(names: pd.Series) -> pd.Series:
+    """The form in which names are compared: compatibility forms taken apart, marks gone, case folded, & as "and", letters and digits of any script, single blanks; null for null."""
+    import unicodedata
+
+    def one(name: str) -> str:
+        bare = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
+        return " ".join("".join(c if c.isalnum() else " " for c in bare.casefold().replace("&", " and ")).split())
+
+    known = {x: one(x) for x in names.dropna().unique()}
+    return names.map(known).astype(object).where(names.notna(), None)
+
+
+# Words of club names that tell no two of them apart.
+NAME_STOPS = ["ac", "afc", "as", "c", "calcio", "cd", "cf", "club", "de", "f", "fc", "football", "la", "le", "rcd", "sc", "ss", "sv", "the"]
+
+
+def name_words(form: Column) -> Column:
+    """The words of a name in its form that count."""
+    return F.filter(F.split(form, " "), lambda w: (w != "") & ~w.isin(NAME_STOPS))
+
+
+def form_steps(a: Column, b: Column, allow_first_name: bool = False) -> Column:
+    """The likeness of two names in their forms by rules on their words; null where only their letters in sequence can tell, 0 for a name without any."""
+    x, y = name_words(a), name_words(b)
     within = lambda p, q: F.size(F.array_except(p, q)) == 0
-    many = (F.size(x) > 1) & (F.size(y) > 1) & (x[0] == y[0])
+    many = (F.size(x) > 1) & (F.size(y) > 1) & (F.get(x, F.lit(0)) == F.get(y, F.lit(0)))
     inside = (F.length(a) >= 6) & (F.length(b) >= 6) & (F.contains(a, b) | F.contains(b, a))
-    steps = F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(inside, 0.9).when(within(x, y) & within(y, x), 0.98)
-    steps = steps.when((F.size(x) >= 2) & within(x, y), 0.92).when((F.size(y) >= 2) & within(y, x), 0.9)
+    steps = F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(inside, 0.9).when((F.size(x) == 0) | (F.size(y) == 0), 0.0)
+    steps = steps.when(within(x, y) & within(y, x), 0.98).when((F.size(x) >= 2) & within(x, y), 0.92).when((F.size(y) >= 2) & within(y, x), 0.9)
     if not allow_first_name:
         steps = steps.when(within(x, y) | within(y, x), 0.82)
     steps = steps.when(many & (F.element_at(x, -1) == F.element_at(y, -1)), 0.95)
     return steps.when(many, 0.72) if allow_first_name else steps
 
 
+def name_steps(a: Column, b: Column, allow_first_name: bool = False) -> Column:
+    """form_steps() of two names as they are written."""
+    formed = [F.coalesce(name_form(c), F.lit("")) for c in (a, b)]
+    return form_steps(*formed, allow_first_name)
+
+
 @pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of letters in matching blocks, by difflib; below 0.82 it counts as 0."""
@@ -141,11 +167,13 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def name_score(a: Column, b: Column, allow_first_name: bool = False) -> Column:
-    """Likeness of two names from 0 to 1, by words first; only what these leave open goes to Python."""
-    steps = name_steps(a, b, allow_first_name)
-    plain = lambda c: F.coalesce(F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), "[^0-9a-z]+", " ")), F.lit(""))
+def form_score(a: Column, b: Column, allow_first_name: bool = False) -> Column:
+    """Likeness of two names in their forms from 0 to 1, by words first; only what these leave open is compared letter by letter."""
+    steps = form_steps(a, b, allow_first_name)
     # an empty pair costs the Python step nothing
-    left = F.when(steps.isNull(), plain(a)).otherwise("")
-    right = F.when(steps.isNull(), plain(b)).otherwise("-")
-    return F.coalesce(steps, sequence_ratio(left, right))
+    return F.coalesce(steps, sequence_ratio(F.when(steps.isNull(), a).otherwise(""), F.when(steps.isNull(), b).otherwise("-")))
+
+
+def name_score(a: Column, b: Column, allow_first_name: bool = False) -> Column:
+    """form_score() of two names as they are written."""
+    return form_score(*(F.coalesce(name_form(c), F.lit("")) for c in (a, b)), allow_first_name)
