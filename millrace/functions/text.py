@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
-#: Latin letters with marks and their plain forms, place by place
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžčćđěřůłńśźżąęőűğışțăāēīūķļņģ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszccderulnszzaeougistaaeiuklng"
+def _marked() -> tuple[str, str]:
+    """Small letters below U+2000 that are one other letter with marks, by their canonical decompositions, and those letters, place by place."""
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M")) for c in map(chr, range(0xC0, 0x2000)) if c == c.lower()}
+    pairs = [(c, b) for c, b in bare.items() if len(b) == 1 and b != c]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _marked()
+# Letters that no mark makes of others, and what they are looked for by.
+LETTERS_ALONE = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i"}
 
 
 def fold(text: Column) -> Column:
-    """Lower case without common marks, for search; stays in the JVM."""
-    out = F.translate(F.lower(text), MARKED, PLAIN)
-    for a, b in (("ø", "o"), ("æ", "ae"), ("œ", "oe"), ("ß", "ss")):
+    """Lower case without marks, of any script, for search; stays in the JVM."""
+    out = F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), MARKED, PLAIN)
+    for a, b in LETTERS_ALONE.items():
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
@@ -26,7 +35,6 @@ def canonical_name(names: pd.Series) -> pd.Series:
     """HTML entities resolved, case folded, all combining marks gone, other signs as single blanks."""
     import html
     import re
-    import unicodedata
 
     def one(name: str | None) -> str | None:
         if name is None:
@@ -89,6 +97,25 @@ def position_group(label: Column, rules: list[tuple[str, list[str]]], otherwise:
     return out
 
 
+# Words of native positions and the group they stand for, in the order in which groups are tried.
+POSITION_WORDS = {
+    "MID": ["AMC", "CAM", "CDM", "CM", "DM", "DMC", "LM", "MC", "MID", "MIDFIELD", "MIDFIELDER", "ML", "MR", "RM"],
+    "DEF": ["BACK", "CB", "CENTERBACK", "CENTREBACK", "D", "DC", "DEF", "DEFENCE", "DEFENDER", "DL", "DR", "FULLBACK", "LB", "LWB", "RB", "RWB", "WB", "WINGBACK"],
+    "FWD": ["AM", "AML", "AMR", "CF", "F", "FC", "FL", "FORWARD", "FR", "FW", "FWL", "FWR", "LW", "RW", "SS", "ST", "STRIKER", "WINGER"],
+}
+
+
+def position_of(raw: Column) -> Column:
+    """GK, DEF, MID, FWD or UNK of a native position: by its words, else by how it begins or what stands in it."""
+    p = F.upper(F.trim(raw))
+    words = F.split(p, "[^A-Z]+")
+    group = F.when((p == "G") | F.contains(p, F.lit("GOALKEEPER")) | F.array_contains(words, "GK"), "GK")
+    for name, known in POSITION_WORDS.items():
+        group = group.when(F.arrays_overlap(words, F.array(*map(F.lit, known))), name)
+    group = group.when(F.startswith(p, F.lit("D")) | F.contains(p, F.lit("DEF")), "DEF").when(F.startswith(p, F.lit("F")), "FWD")
+    return group.when(F.startswith(p, F.lit("M")) | F.contains(p, F.lit("MID")), "MID").otherwise("UNK")
+
+
 # Native position words and the labels shown for them.
 POSITION_LABELS = {
     "AM": "Attacking Midfield", "CENTRAL MIDFIELDER": "Central Midfield", "CENTRE-BACK": "Centre-Back", "CENTRE-FORWARD": "Centre-Forward", "CENTREBACK": "Centre-Back", "CENTREFORWARD": "Centre-Forward",
@@ -113,7 +140,6 @@ def without_rate_mark(label: Column) -> Column:
 @pandas_udf(StringType())
 def name_form(names: pd.Series) -> pd.Series:
     """The form in which names are compared: compatibility forms taken apart, marks gone, case folded, & as "and", letters and digits of any script, single blanks; null for null."""
-    import unicodedata
 
     def one(name: str) -> str:
         bare = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))

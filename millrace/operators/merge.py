@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import content_key
 from .cohort import best_row
 
 
@@ -51,10 +52,9 @@ def replace_slices(base: DataFrame, new: DataFrame, slice_key: str) -> DataFrame
 
 
 def changed(old: DataFrame, new: DataFrame, keys: list[str], content: list[str]) -> DataFrame:
-    """keys and change (added, removed, changed, same) by a digest of the content columns."""
-    digest = F.sha2(F.to_json(F.struct(*content)), 256)
-    a = old.select(*keys, digest.alias("__a"))
-    b = new.select(*keys, digest.alias("__b"))
+    """keys and change (added, removed, changed, same) by a digest of the content columns, whatever the order of their fields."""
+    a = old.select(*keys, content_key(old, *content).alias("__a"))
+    b = new.select(*keys, content_key(new, *content).alias("__b"))
     both = a.join(b, keys, "full_outer")
     change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(F.col("__a") == F.col("__b"), "same").otherwise("changed")
     return both.select(*keys, change.alias("change"))

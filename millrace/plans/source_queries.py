@@ -79,8 +79,38 @@ def match_schedule(spark: SparkSession, d: str) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ["FT", " Finished", "fixture", "Postponed", "LIVE ", "void"])), (k % 6 + 1).cast("int"))
     rows = read(spark, d, "orders").select(F.when(k % 9 > 0, k.cast("string")).otherwise("n/a").alias("id"), status.alias("status"), F.when(k % 10 > 0, F.to_date("o_orderdate").cast("string")).otherwise("soon").alias("start"))
     path = files.working_folder(spark)
-    files.write_documents(rows, path, parts=8)
-    return files.schedule(files.read_documents(spark, path, "id string, status string, start string")).withColumn("kickoff", F.to_date("kickoff").cast("string"))
+    files.write_documents(rows, path)
+    found = files.schedule(files.read_documents(spark, path, "id string, status string, start string"))
+    return found.select("match_id", "status", F.to_date("kickoff").cast("string").alias("kickoff"))
+
+
+_SAID = ["AET", "pen", "HT", "cancelled", "Abandoned", "not started", "1h", "void", "FT", "Canceled"]
+
+
+@query("""select o_orderkey as match_id, case when o_orderkey % 17 = 0 or o_orderkey % 10 in (0, 1, 8) then 'completed' when o_orderkey % 10 in (2, 6) then 'live' when o_orderkey % 10 in (3, 4, 9) then 'postponed' when o_orderkey % 10 = 5 then 'scheduled' when o_orderkey % 3 = 0 then 'completed' else 'unknown' end as status,
+    case when o_orderkey % 3 < 2 then o_orderkey % 4 end as home_score, case when o_orderkey % 3 = 0 then o_orderkey % 5 end as away_score from orders""")
+def match_schedule_results(spark: SparkSession, d: str) -> DataFrame:
+    """Statuses after extra time, of cancelled and of running matches, results that say so, and scores without a status."""
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, _SAID)), (k % 10 + 1).cast("int"))
+    scores = F.when(k % 3 == 0, F.array((k % 4).cast("string"), (k % 5).cast("string"))).when(k % 3 == 1, F.array((k % 4).cast("string"), F.lit("-")))
+    rows = read(spark, d, "orders").select(F.concat(k, F.lit(".0")).alias("id"), status.alias("status"), F.lit("2024-01-01").alias("start"), (k % 17 == 0).alias("is_result"), scores.alias("scores"))
+    path = files.working_folder(spark)
+    files.write_documents(rows, path)
+    found = files.schedule(files.read_documents(spark, path, "id string, status string, start string, is_result boolean, scores array<string>"))
+    return found.select("match_id", "status", "home_score", "away_score")
+
+
+@query("""select event_id, sha256('{"a":[' || event_id || ',{"c":"é","d":' || user_id || '}],"b":{"x":null,"y":' || event_id % 7 || '}}') as digest, event_id % 7 = user_id % 7 as same from events""")
+def canonical_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of nested documents whose keys come in any order, and whether typed columns of the same content agree."""
+    k, u = F.col("event_id"), F.col("user_id")
+    raw = F.when(k % 2 == 0, F.format_string('{"b": {"y": %d, "x": null}, "a": [%d, {"d": %d, "c": "\\u00e9"}]}', k % 7, k, u)).otherwise(F.format_string('{ "a":[%d,{"c":"é","d":%d}], "b":{"x":null,"y":%d}}', k, u, k % 7))
+    one, other = F.struct((k % 7).alias("p"), F.lit(1).alias("q")), F.struct(F.lit(1).alias("q"), (u % 7).alias("p"))
+    rows = read(spark, d, "events").select("event_id", raw.alias("raw"), one.alias("v"))
+    again = read(spark, d, "events").select("event_id", other.alias("v"))
+    both = rows.select("event_id", F.sha2(files.canonical_json("raw"), 256).alias("digest"), files.content_key(rows, "v").alias("l"))
+    return both.join(again.select("event_id", files.content_key(again, "v").alias("r")), "event_id").select("event_id", "digest", (F.col("l") == F.col("r")).alias("same"))
 
 
 @query("""select p_partkey, len(ids) as n, array_to_string(ids, ',') as ids from (select p_partkey, list_filter([p_size % 5, case when p_partkey % 4 > 0 then p_partkey % 5 end], lambda x: x is not null) as ids from part)""")

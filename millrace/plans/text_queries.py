@@ -63,3 +63,22 @@ def conversation_facets(spark: SparkSession, d: str) -> DataFrame:
 def name_forms(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer")
     return c.select("c_name", text.canonical_name(F.col("c_name")).alias("canonical"), text.alnum_name(F.col("c_name")).alias("bare"), text.trailing_number(F.col("c_name")).alias("tier"))
+
+
+@query("""select n_nationkey, lower(replace(replace(replace(strip_accents(w), 'Ø', 'o'), 'ø', 'o'), 'ß', 'ss')) as folded from (select n_nationkey, n_name || ' Ṽệǻ ŐỮÝ øß Ø Йо Ώ ñ' || chr(769) as w from nation)""")
+def fold_any_mark(spark: SparkSession, d: str) -> DataFrame:
+    """Search forms of words with marks of many kinds."""
+    return read(spark, d, "nation").select("n_nationkey", text.fold(F.concat("n_name", F.lit(" Ṽệǻ ŐỮÝ øß Ø Йо Ώ ñ\u0301"))).alias("folded"))
+
+
+_POSITIONS = ["DR", "M(C)", "Attacking Midfielder", "GK", "goalkeeper (sub)", "D(LC)", "FWL", "Striker", "Mittelfeld", "Defensive", "F9", "x", "", "AM", "Dribbler", "S-MID"]
+_IN = {g: ", ".join(f"'{w}'" for w in words) for g, words in text.POSITION_WORDS.items()}
+
+
+@query(f"""with p as (select p_partkey, ({_POSITIONS!r})[1 + p_partkey % {len(_POSITIONS)}] as raw from part), w as (select *, upper(trim(raw)) as u, regexp_split_to_array(upper(trim(raw)), '[^A-Z]+') as ws from p)
+    select p_partkey, case when u = '' then 'UNK' when u = 'G' or contains(u, 'GOALKEEPER') or list_contains(ws, 'GK') then 'GK' when list_has_any(ws, [{_IN["MID"]}]) then 'MID' when list_has_any(ws, [{_IN["DEF"]}]) then 'DEF' when list_has_any(ws, [{_IN["FWD"]}]) then 'FWD'
+    when starts_with(u, 'D') or contains(u, 'DEF') then 'DEF' when starts_with(u, 'F') then 'FWD' when starts_with(u, 'M') or contains(u, 'MID') then 'MID' else 'UNK' end as grp from w""")
+def position_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of native positions, by words and by how they begin."""
+    raw = F.element_at(F.array(*map(F.lit, _POSITIONS)), (F.col("p_partkey") % len(_POSITIONS) + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", text.position_of(raw).alias("grp"))

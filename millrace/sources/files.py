@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType, VariantType
 
 from ..functions.text import first_known
 
@@ -22,8 +26,8 @@ def read_register(spark: SparkSession, path: str, kind: str, id_column: str, pro
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One JSON document for each file, at any depth below the path."""
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(path, multiLine=True)
+    """JSON documents, one for each line, at any depth below the path."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
 
 
 def merged_pages(pages: DataFrame, keys: list[str], number: str, first: list[str], maps: list[str]) -> DataFrame:
@@ -45,9 +49,33 @@ def write_slices(df: DataFrame, path: str, slice_key: str) -> None:
     df.repartition(slice_key, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(slice_key).parquet(path)
 
 
-def content_key(*columns: str) -> Column:
-    """SHA-256 of a row's columns as JSON in the order of their names."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+@pandas_udf(StringType())
+def canonical_json(texts: pd.Series) -> pd.Series:
+    """JSON documents in their one form: keys in order at every depth, no blanks, letters as they are; null for what is no JSON or holds NaN."""
+
+    def one(text: str) -> str | None:
+        try:
+            return json.dumps(json.loads(text), ensure_ascii=False, allow_nan=False, separators=(",", ":"), sort_keys=True)
+        except ValueError:
+            return None
+
+    known = {t: one(t) for t in texts.dropna().unique()}
+    return texts.map(known).astype(object).where(texts.notna(), None)
+
+
+def canonical(df: DataFrame, columns: list[str]) -> Column:
+    """A row's columns as one JSON text that does not hang on the order of columns, of fields or of map entries.
+
+    Flat columns are put in order in the JVM; nested ones go through canonical_json().
+    """
+    row = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    nested = any(isinstance(df.schema[c].dataType, (StructType, MapType, ArrayType, VariantType)) for c in columns)
+    return canonical_json(row) if nested else row
+
+
+def content_key(df: DataFrame, *columns: str) -> Column:
+    """SHA-256 of canonical()."""
+    return F.sha2(canonical(df, list(columns)), 256)
 
 
 def working_folder(spark: SparkSession) -> str:
@@ -63,22 +91,39 @@ def working_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/millrace-files/{uuid.uuid4().hex}"
 
 
-def write_documents(rows: DataFrame, path: str, parts: int = 4) -> None:
-    """Rows as JSON arrays, one document for each file."""
-    row = F.to_json(F.struct(*rows.columns))
-    dealt = rows.select(row.alias("row"), F.pmod(F.xxhash64(row), F.lit(parts)).alias("part"))
-    arrays = dealt.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("value"))
-    arrays.write.partitionBy("part").text(path)  # a folder, and so a file, for each part
+def write_documents(rows: DataFrame, path: str, rows_a_file: int = 20_000) -> None:
+    """Rows as JSON documents, one for each row, in files of so many rows at most."""
+    rows.write.option("maxRecordsPerFile", rows_a_file).json(path)
 
 
 # What a schedule says of a match, and the status it stands for.
-STATUSES = {"ft": "completed", "finished": "completed", "completed": "completed", "fixture": "scheduled", "scheduled": "scheduled", "postponed": "postponed", "abandoned": "abandoned", "live": "live"}
+STATUSES = {
+    "completed": ["aet", "completed", "finished", "ft", "pen"],
+    "live": ["1h", "2h", "ht", "in progress", "inprogress", "live"],
+    "postponed": ["abandoned", "canceled", "cancelled", "postponed"],
+    "scheduled": ["fixture", "not started", "notstarted", "scheduled"],
+}
+
+
+def whole_number(cell: Column) -> Column:
+    """A number's whole part ("5.0" is 5); null for what is none."""
+    return cell.cast("string").try_cast("double").try_cast("long")
 
 
 def schedule(rows: DataFrame) -> DataFrame:
-    """match_id, status, kickoff of schedule rows (id, status, start: all text); unknown statuses are unknown, bad numbers and times null."""
-    known = F.create_map(*(F.lit(x) for pair in STATUSES.items() for x in pair))
-    return rows.select(F.col("id").try_cast("long").alias("match_id"), F.coalesce(F.try_element_at(known, F.lower(F.trim("status"))), F.lit("unknown")).alias("status"), F.col("start").try_cast("timestamp").alias("kickoff"))
+    """match_id, status, kickoff, home_score, away_score of schedule rows: id, status, start, and if there status_code, is_result, home_score, away_score, scores (home, away).
+
+    A result is completed whatever its status says; without a known status a match with both scores is completed,
+    any other unknown. Bad numbers and times are null.
+    """
+    have = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    home, away = (F.coalesce(whole_number(have(f"{side}_score", "string")), whole_number(F.get(have("scores", "array<string>"), F.lit(i)))) for i, side in enumerate(("home", "away")))
+    said = F.lower(F.trim(F.coalesce(have("status_code", "string"), F.col("status"), F.lit(""))))
+    status = F.when(F.coalesce(have("is_result", "boolean"), F.lit(False)), "completed")
+    for name, words in STATUSES.items():
+        status = status.when(said.isin(words), name)
+    status = status.when(home.isNotNull() & away.isNotNull(), "completed").otherwise("unknown")
+    return rows.select(whole_number(F.col("id")).alias("match_id"), status.alias("status"), F.col("start").try_cast("timestamp").alias("kickoff"), home.alias("home_score"), away.alias("away_score"))
 
 
 def club_ids(clubs: Column, ids: Column) -> Column:
