@@ -51,9 +51,10 @@ _AT_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, tag and text; the tag tells rows of one doc_id apart by their text."""
+    """doc_id, tag and text; the tag, 60 bits of a SHA-256 digest, tells rows of one doc_id apart by their text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text.cast("binary")).cast("long").alias("tag"), text.alias("text"))
+    tag = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), text.alias("text"))
 
 
 def anchor_places(words) -> tuple[np.ndarray, np.ndarray]:
