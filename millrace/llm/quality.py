@@ -111,8 +111,9 @@ def _sampled(docs: DataFrame, ids: DataFrame, most: int, seed: str) -> DataFrame
     for label in (0, 1):
         first = ids.where(F.col("label") == label).orderBy(uniform(F.col("doc_id"), seed), "doc_id").limit(most)
         chosen = first if chosen is None else chosen.unionByName(first)
-    # at most 2 * most rows of two numbers: a proven bound
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").where("text is not null")
+    # at most 2 * most rows of two numbers: a proven bound; of rows that share an id the first text counts, so that the result has it too
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def _dictionaries(texts: dict[int, list[bytes]], size: int) -> tuple[bytes, bytes]:
