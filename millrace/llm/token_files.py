@@ -182,7 +182,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
             at += int(ends[-1])
         code.forget()  # idle workers hold nothing
 
-    dealt = given.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id, or without one, may lie in several parts; bounds are drawn from the texts' beginnings, which order them as the texts do
+    dealt = given.repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(tidied(encode), SCHEMA).write.options(**LAYOUT).parquet(path)
     return path
 
