@@ -88,3 +88,23 @@ def directional_pick(events: DataFrame, current: DataFrame, key: str, direction:
     ahead, aside = dx * a + dy * b, F.abs(dx * b - dy * a)
     scored = met.withColumn("score", ahead + aside * 2.5).where(ahead > 0)
     return scored.groupBy("current").agg(F.min(F.struct("score", key)).alias("best")).select("current", F.col(f"best.{key}").alias("picked"), "best.score")
+
+
+# Names of pass filters, and other names they are asked by.
+PASS_FILTERS = ["completed", "progressive", "final_third_entry", "box_entry", "key_pass", "cross", "long_ball", "failed"]
+PASS_ALIASES = {
+    "all": "completed", "all_completed": "completed", "box-entry": "box_entry", "box_entries": "box_entry", "crosses": "cross", "failed_passes": "failed", "final-third-entry": "final_third_entry",
+    "final_third_entries": "final_third_entry", "key-pass": "key_pass", "key_passes": "key_pass", "long-ball": "long_ball", "long_balls": "long_ball",
+}
+_PASS_COLUMNS = {"final_third_entry": "final_third"}
+
+
+def pass_filter(name: str | None = None) -> Column:
+    """The test of typed passes for a filter's name or other name, completed without one; an unknown name is an error."""
+    asked = (name or "completed").strip().lower()
+    asked = PASS_ALIASES.get(asked, asked)
+    if asked not in PASS_FILTERS:
+        raise ValueError(f"no pass filter {name!r}; there are {', '.join(PASS_FILTERS)}")
+    if asked in ("completed", "failed"):
+        return F.col("success").eqNullSafe(asked == "completed")
+    return F.col(_PASS_COLUMNS.get(asked, asked))
