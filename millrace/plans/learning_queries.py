@@ -57,7 +57,7 @@ def nearest_two_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_archetypes(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.clustered(read(spark, d, "embeddings"), "vec_id", "embedding", range(3, 7), starts=2, least=6)
+    return similarity.clustered(read(spark, d, "embeddings"), "vec_id", "embedding", range(3, 7), starts=10, least=6)
 
 
 @query()
