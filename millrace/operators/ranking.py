@@ -2,9 +2,11 @@
 
 A window over a few large groups would sort each group in one task.  Here values
 are first counted by (group, value); an order-preserving code of a value's binary
-exponent and leading bits deals the distinct values into buckets, for any data
-and without looking at them first; bucket totals, a table of groups times buckets,
-give each bucket's offset; and only then does a window run, inside a bucket.
+exponent and leading bits deals the distinct values into buckets; a bucket of more
+than BUCKET_VALUES values (times, ids, years: numbers that lie close together) is parted
+evenly between its smallest and largest one; totals of parts, a table of groups times
+parts, give each part's offset; and only then does a window run, inside a part.  All
+of these are exact figures of the data, so a task done again finds the same parts.
 
 Defined results: null values have no place; null groups are groups of their own;
 infinities are values like others, and NaN counts as one value above all others,
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS = 32  # buckets for each doubling
+BUCKET_VALUES = 20_000
 _BEYOND = (1100 + 1100) * STEPS  # above the code of any finite value
 
 
@@ -47,12 +50,17 @@ def cumulative_counts(df: DataFrame, groups: list[str], value: str, weight: str
     With a weight, its sums stand for numbers of rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
-    dealt = counts.withColumn("bucket", magnitude(F.col(value)))
-    totals = dealt.groupBy(*groups, "bucket").agg(F.sum("n").alias("in_bucket"))
+    coded = counts.withColumn("bucket", magnitude(F.col(value)))
+    number = F.col(value).cast("double")
+    ends = coded.groupBy(*groups, "bucket").agg(F.ceil(F.count("*") / BUCKET_VALUES).alias("__parts"), F.min(number).alias("__low"), (F.max(number) - F.min(number)).alias("__wide"))
+    part = F.when((F.col("__parts") > 1) & (F.col("__wide") > 0), F.floor((number - F.col("__low")) / F.col("__wide") * F.col("__parts"))).otherwise(0)
+    dealt = join_same(coded, ends, [*groups, "bucket"]).withColumn("part", part).drop("__parts", "__low", "__wide")
+    totals = dealt.groupBy(*groups, "bucket", "part").agg(F.sum("n").alias("in_part"))
     over = Window.partitionBy(*groups)
-    offsets = totals.select(*groups, "bucket", F.coalesce(F.sum("in_bucket").over(over.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("in_bucket").over(over).alias("total"))
-    inside = Window.partitionBy(*groups, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return join_same(dealt, offsets, [*groups, "bucket"]).select(*groups, value, "n", (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"), "total")
+    before = over.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*groups, "bucket", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("offset"), F.sum("in_part").over(over).alias("total"))
+    inside = Window.partitionBy(*groups, "bucket", "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return join_same(dealt, offsets, [*groups, "bucket", "part"]).select(*groups, value, "n", (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"), "total")
 
 
 def midrank_percentile(df: DataFrame, groups: list[str], value: str, out: str, eligible: Column | None = None) -> DataFrame:
