@@ -1,15 +1,18 @@
 """Removal of repeated runs of lines, found as content-defined chunks.
 
-A text's lines get codes.  One hash of a line's code decides whether a chunk may
-end after it, another whether one may start at it, so a bound hangs on a line of
-either side and moves with it when something is put in or taken out elsewhere.
-Of bounds in a row every `LEAST_LINES`-th holds, and none leaves fewer lines than
-that at a text's start or end, so only whole texts can be shorter chunks; after a
-change, bounds agree again from the next lines that may not be parted.  A stretch
-without bounds is parted after every `MOST_LINES` lines.  Chunks of
-at least two lines whose hash occurs more than once in the corpus are candidates.  The bytes of
-every candidate are compared with those of its first occurrence (smallest
-doc_id, then place) and, if equal, it is removed; the first one stays.
+A text's lines get hashes, and a rolling hash goes over two lines at a time.  Two lines
+whose rolling hash is smaller than that of their neighbours on either side - the pairs one
+line before and one line on - are a chunk, and what lies between such pairs is another.
+So a bound hangs on four lines and moves with them when something is put in or taken out
+elsewhere; pairs never overlap, and a run of repeated lines has the same pairs wherever it
+stands, but for those at its two ends.  A stretch without pairs is parted after every
+`MOST_LINES` lines.  Chunks of at least two lines whose hash occurs more than once in the
+corpus are candidates.  The bytes of every candidate are compared with those of its first
+occurrence (smallest doc_id, then place) and, if equal, it is removed; the first one stays.
+
+The lines around it are compared as well: of the chunk before, the last lines that are those
+before the first occurrence, and of the chunk behind, the first lines that are those behind
+it, go too.  So the ends of a run, which lie in chunks with other lines, go with it.
 
 Texts meet their marks in merge joins whatever the size of either, so the plan is
 the same for a small corpus as for a large one.  Hash groups are reduced to their first occurrence by partial sums before any
@@ -18,7 +21,7 @@ shuffle; the candidates then meet that one row, in joins that split hot keys.
 Defined results: texts and lines of any length are taken whole; a null text stays null and has no lines; an empty text has one
 empty line; rows without doc_id stay as they are; rows of one doc_id stand at
 the same place, so they never remove each other's chunks; chunks of equal hash
-and different bytes are kept; an empty table gives an empty result; further
+and different bytes are kept (with the lines around them); an empty table gives an empty result; further
 columns are kept.
 """
 
@@ -29,14 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, meet, prepare, stored, tidied
 from .wordcode import BASE, Words, scramble
 
-#: odds against a bound before a line, and against one after it
-MEAN_LINES = 3
 LEAST_LINES = 2
 MOST_LINES = 64
 BLOCK_BYTES = 1 << 20
@@ -71,20 +72,21 @@ def chunk_spans(lines: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = line_codes(lines)
     place = np.arange(n) - np.repeat(lines.first[:-1], lines.count)
     left = np.repeat(lines.count, lines.count) - 1 - place
-    ends, starts = scramble(codes), scramble(scramble(codes) + BASE)
-    may_end = (ends % np.uint64(MEAN_LINES) == 0) | np.roll(starts % np.uint64(MEAN_LINES) == 0, -1)
-    may_end &= (place + 1 >= LEAST_LINES) & (left >= LEAST_LINES)
+    # the rolling hash of a line and the next one; none at the last line of a text
+    rolled = np.full(n + 2, np.iinfo(np.uint64).max)
+    rolled[1:n] = scramble(codes[:-1] * BASE + codes[1:])
+    rolled[1:-1][left == 0] = rolled[0]
+    here = rolled[1:-1]
+    pair = np.flatnonzero((left > 0) & (here < rolled[:-2]) & (here <= rolled[2:]))
     last = np.zeros(n, bool)
     last[lines.first[1:][lines.count > 0] - 1] = True
-    before = -LEAST_LINES
-    for i in np.flatnonzero(may_end).tolist():
-        if i - before >= LEAST_LINES:
-            last[i], before = True, i
+    last[pair + 1] = True
+    last[pair[place[pair] > 0] - 1] = True
     end = np.flatnonzero(last) + 1
     start = np.concatenate([[0], end[:-1]])
     for a, b in zip(start.tolist(), end.tolist(), strict=True):
         if b - a > MOST_LINES:
-            last[a + MOST_LINES - 1 : b - LEAST_LINES : MOST_LINES] = True
+            last[a + MOST_LINES - 1 : b - 1 : MOST_LINES] = True
     end = np.flatnonzero(last) + 1
     start = np.concatenate([[0], end[:-1]])
     # a line's part in its chunk's code hangs on its place there
@@ -126,30 +128,49 @@ def candidates(found: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
 
+def _alike(a: str, b: str, backwards: bool) -> Column:
+    """How many lines of two texts are the same from the start, or from the end; none of a null."""
+    cut = [F.split(F.col(c).cast("string"), "\n") for c in (a, b)]
+    same = F.zip_with(*(F.reverse(c) for c in cut) if backwards else cut, lambda x, y: x.eqNullSafe(y))
+    unlike = F.array_position(same, False)
+    return F.coalesce(F.when(unlike == 0, F.size(same)).otherwise(unlike - 1), F.lit(0)).cast("int")
+
+
 def repeats(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """(doc_id, nth, code) of the candidates whose bytes equal those of the first occurrence."""
+    """(doc_id, nth, code, before, behind): the candidates whose bytes equal those of the first occurrence, and how many lines around them do so as well."""
 
     def work(batch, lines, start, end, code, text, nth):
         at = {(int(t), int(n)): i for i, (t, n) in enumerate(zip(text, nth, strict=True))}
         out: list[tuple] = []
+
+        def held(i: int | None) -> bytes | None:
+            return None if i is None else lines.data[lines.start[start[i]] : lines.end[end[i] - 1]].tobytes()
+
         for t, (doc_id, marks) in enumerate(zip(batch.column("__id").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
+            going = {m["nth"] for m in marks if not m["is_first"]}
             for m in marks:
-                i = at.get((t, m["nth"]))
+                k = m["nth"]
+                i = at.get((t, k))
                 if i is not None and code[i] == m["code"]:
-                    out.append((doc_id, m["nth"], m["code"], m["is_first"], lines.data[lines.start[start[i]] : lines.end[end[i] - 1]].tobytes()))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "nth", "code", "is_first", "bytes"])
+                    # the chunk beside one that goes is not needed where it goes itself
+                    around = [None if not m["is_first"] and n in going else held(at.get((t, n))) for n in (k - 1, k + 1)]
+                    out.append((doc_id, k, m["code"], m["is_first"], held(i), *around))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+        cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "nth", "code", "is_first", "bytes", "before", "behind"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(marked.withColumnRenamed("doc_id", "__id").hint("merge"), "__id").select("__id", "__text", "marks")
-    cut = stored(_texts_with(given, work, "doc_id long, nth int, code long, is_first boolean, bytes binary"))
-    firsts = cut.where("is_first").dropDuplicates(["code"]).select("code", F.col("bytes").alias("first_bytes"))
-    return meet(cut.where("not is_first"), firsts, "code").where("bytes = first_bytes").select("doc_id", "nth", "code").distinct()
+    cut = stored(_texts_with(given, work, "doc_id long, nth int, code long, is_first boolean, bytes binary, before binary, behind binary"))
+    firsts = cut.where("is_first").dropDuplicates(["code"]).select("code", *(F.col(c).alias(f"first_{c}") for c in ("bytes", "before", "behind")))
+    same = meet(cut.where("not is_first"), firsts, "code").where("bytes = first_bytes")
+    around = same.select("doc_id", "nth", "code", _alike("before", "first_before", True).alias("before"), _alike("behind", "first_behind", False).alias("behind"))
+    return around.groupBy("doc_id", "nth", "code").agg(F.min("before").alias("before"), F.min("behind").alias("behind"))  # rows that share a doc_id
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """`docs` with `text` cleaned, and __lines, __chunks, __removed: numbers of lines, chunks and removed lines."""
     marked = stored(candidates(chunks(docs)))
-    gone = repeats(docs, marked).groupBy("doc_id").agg(F.collect_list(F.struct("nth", "code")).alias("__gone")).withColumnRenamed("doc_id", "__id")
+    gone = repeats(docs, marked).groupBy("doc_id").agg(F.collect_list(F.struct("nth", "code", "before", "behind")).alias("__gone")).withColumnRenamed("doc_id", "__id")
     names = docs.columns
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     keep = [c for c in names if c != "text"]
@@ -163,13 +184,14 @@ def dedup(docs: DataFrame) -> DataFrame:
                 continue
             if at is None:
                 at = np.searchsorted(text, np.arange(n + 1))
-            drop = np.zeros(at[t + 1] - at[t], bool)
+            first, n_lines = lines.first[t], lines.count[t]
+            drop = np.zeros(n_lines, bool)
             for g in gone:
                 i = at[t] + g["nth"]
-                if g["nth"] < len(drop) and code[i] == g["code"]:
-                    drop[g["nth"]] = True
-            kept = [lines.data[lines.start[start[i]] : lines.end[end[i] - 1]].tobytes() for i in range(at[t], at[t + 1]) if not drop[i - at[t]]]
-            removed[t] = (end - start)[at[t] : at[t + 1]][drop].sum()
+                if i < at[t + 1] and code[i] == g["code"]:
+                    drop[start[i] - first - g["before"] : end[i] - first + g["behind"]] = True
+            kept = [lines.data[lines.start[i] : lines.end[i]].tobytes() for i in first + np.flatnonzero(~drop)]
+            removed[t] = drop.sum()
             texts[t] = b"\n".join(kept).decode()
         n_chunks = np.bincount(text, minlength=n)
         return pa.RecordBatch.from_arrays([*(batch.column(f"__k{i}") for i in range(len(keep))), pa.array(texts, pa.string()), pa.array(lines.count.astype(np.int64)), pa.array(n_chunks.astype(np.int64)), pa.array(removed)], [*(f"__k{i}" for i in range(len(keep))), "__text", "__lines", "__chunks", "__removed"])

@@ -179,26 +179,37 @@ def test_decontamination_of_and_by_nothing(spark, docs):
 
 
 def test_lines(docs, rows):
-    """Chunk bounds come from the operator itself; what is repeated is decided here by their bytes."""
-    first: dict = {}
-    want = []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    """Chunk bounds come from the operator itself; what is repeated, and how far around, is decided here by bytes."""
+    cut, first = {}, {}
+    for k, (i, t) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))):
         if t is None:
-            want.append((i, None, 0))
+            cut[k] = i, None, []
             continue
-        spans = lines.line_spans(pa.array([t], pa.string()))
-        start, end, _ = lines.chunk_spans(spans)
+        start, end, _ = lines.chunk_spans(lines.line_spans(pa.array([t], pa.string())))
         own = t.encode().split(b"\n")
-        assert len(own) == len(spans.start)
-        kept, removed = [], 0
-        for n, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
-            body = b"\n".join(own[a:b])
+        cut[k] = i, own, list(zip(start.tolist(), end.tolist(), strict=True))
+        for n, (a, b) in enumerate(cut[k][2]):
             if i is not None and b - a >= lines.LEAST_LINES:
-                if first.setdefault(body, (i, n)) != (i, n):
-                    removed += b - a
-                    continue
-            kept.append(body)
-        want.append((i, b"\n".join(kept).decode(), removed))
+                first.setdefault(tuple(own[a:b]), (k, n))
+    want = []
+    for k, (i, own, spans) in cut.items():
+        if own is None:
+            want.append((i, None, 0))
+            continue
+        gone = [n for n, (a, b) in enumerate(spans) if i is not None and b - a >= lines.LEAST_LINES and first[tuple(own[a:b])] != (k, n)]
+        drop = set()
+        for n in gone:
+            a, b = spans[n]
+            drop |= set(range(a, b))
+            other, m = first[tuple(own[a:b])]
+            _, theirs, their_spans = cut[other]
+            if n and m and n - 1 not in gone:
+                x, y = own[spans[n - 1][0] : a][::-1], theirs[their_spans[m - 1][0] : their_spans[m][0]][::-1]
+                drop |= set(range(a - sum(all(u == v for u, v in zip(x[: j + 1], y[: j + 1], strict=True)) for j in range(min(len(x), len(y)))), a))
+            if n + 1 < len(spans) and m + 1 < len(their_spans) and n + 1 not in gone:
+                x, y = own[b : spans[n + 1][1]], theirs[their_spans[m][1] : their_spans[m + 1][1]]
+                drop |= set(range(b, b + sum(all(u == v for u, v in zip(x[: j + 1], y[: j + 1], strict=True)) for j in range(min(len(x), len(y))))))
+        want.append((i, b"\n".join(w for j, w in enumerate(own) if j not in drop).decode(), len(drop)))
     got = lines.dedup(docs)
     assert got.columns == [*docs.columns, "__lines", "__chunks", "__removed"]
     assert ordered((r["doc_id"], r["text"], r["__removed"]) for r in got.collect()) == ordered(want)
