@@ -43,3 +43,17 @@ def settled(fetched: Column, now: Column, hours: int = 12) -> Column:
 def rotation(key: Column, day: Column, n: int) -> Column:
     """Order that moves on by one place each day."""
     return F.pmod(key + F.dayofyear(day), F.lit(n))
+
+
+def canonical_label(code: Column, label: Column, aliases: Column) -> Column:
+    """The label that a competition's season goes by; aliases: a map from "CODE|alias" to it."""
+    named = F.trim(label)
+    return F.coalesce(F.try_element_at(aliases, F.concat(F.upper(F.trim(code)), F.lit("|"), named)), named)
+
+
+def candidate_labels(code: Column, label: Column, aliases: Column) -> Column:
+    """Labels a season may be stored under: the canonical one, the asked one, then its other aliases by name."""
+    main = canonical_label(code, label, aliases)
+    own = F.filter(F.map_entries(aliases), lambda e: (F.split_part(e["key"], F.lit("|"), F.lit(1)) == F.upper(F.trim(code))) & (e["value"] == main))
+    others = F.array_sort(F.transform(own, lambda e: F.split_part(e["key"], F.lit("|"), F.lit(2))))
+    return F.array_distinct(F.concat(F.array(main, F.trim(label)), others))

@@ -19,6 +19,14 @@ def contains_text(a: Column, b: str) -> Column:
     return F.contains(F.lower(a), F.lit(b.lower()))
 
 
+def event_scope(events: DataFrame, provider: str, slices: DataFrame, key: str, player: int | None = None, team: int | None = None) -> DataFrame:
+    """Events of one provider in the slices, of a player or a team if asked for."""
+    rows = in_scope(events.where(F.col("provider") == provider), slices, key)
+    for column, wanted in (("player", player), ("team", team)):
+        rows = rows.where(F.col(column) == wanted) if wanted is not None else rows
+    return rows
+
+
 def at_least(minutes: Column, requested: int, floor: int = 0) -> Column:
     """minutes >= the larger bound; no bound at all keeps nulls."""
     bound = max(requested, floor)

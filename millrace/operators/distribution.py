@@ -53,6 +53,12 @@ def histogram(df: DataFrame, groups: list[str], value: str, most: int = 16) -> D
     return join_same(every, counts, [*groups, "bin"], "left").select(*groups, "bin", (F.col("low") + F.col("bin") * F.col("width")).alias("bin_low"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def described(df: DataFrame, groups: list[str], value: str, most: int = 16) -> DataFrame:
+    """summary() with `bins`, the histogram's counts in order of its bins (at most `most` a group)."""
+    bins = histogram(df, groups, value, most).groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda b: b["n"]).alias("bins"))
+    return _back(summary(df, groups, value), bins, groups)
+
+
 def unpivot(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """keys, metric, value: one row for each metric, so that one pass serves them all."""
     return df.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(keys, metrics, "metric", "value")

@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import archetypes, regression, selection
+from ..functions import seasons, text
+from ..operators import archetypes, cohort, distribution, names, regression, selection
 from .registry import query, read
 
 _CODES = [*selection.FIVE_CODES, "NED1", "UCL"]
@@ -120,3 +120,49 @@ def fit_warnings(spark: SparkSession, d: str) -> DataFrame:
     """Rows a fit can use and what it warns of."""
     li = read(spark, d, "lineitem").select(F.when(F.col("l_linenumber") % 4 > 0, F.col("l_quantity")).cast("double").alias("a"), (F.col("l_quantity") * 2 + F.col("l_linenumber") / 1000).cast("double").alias("b"), F.col("l_extendedprice").cast("double").alias("t"))
     return regression.fit_checks(li, ["a", "b"], "t", {"a", "b", "t"})
+
+
+@query("""select doc_id, lower(lang) = 'en' as english, contains(lower(text), 'the ') as found from documents where lower(lang) = 'en' or contains(lower(source), 'rc1')""")
+def text_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Equality and search without regard to case."""
+    docs = read(spark, d, "documents")
+    english = cohort.same_text(F.col("lang"), "EN")
+    return docs.where(english | cohort.contains_text(F.col("source"), "RC1")).select("doc_id", english.alias("english"), cohort.contains_text(F.col("text"), "The ").alias("found"))
+
+
+@query("""select event_id from events where event_id % 3 = 1 and user_id % 4 in (1, 2) and event_id % 5 = 2 and hour(ts) % 6 = 3""")
+def scoped_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events of a provider, some slices, a player and a team."""
+    k = F.col("event_id")
+    e = read(spark, d, "events").select("event_id", F.concat(F.lit("p"), k % 3).alias("provider"), (F.col("user_id") % 4).alias("slice"), (k % 5).alias("player"), (F.hour("ts") % 6).alias("team"))
+    return cohort.event_scope(e, "p1", spark.range(1, 3).select(F.col("id").alias("slice")), "slice", player=2, team=3).select("event_id")
+
+
+@query("""select p_brand, count(*) as n, min(p_retailprice) as low, max(p_retailprice) as high, quantile_cont(p_retailprice, 0.5) as p50, len(list(distinct p_retailprice)) > 0 as some, case when min(p_retailprice) = max(p_retailprice) then 1 else least(16, count(*)) end as n_bins, count(*) as in_bins from part group by 1""")
+def distribution_with_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Distribution rows with their bins: as many as asked for, which hold every row."""
+    out = distribution.described(read(spark, d, "part"), ["p_brand"], "p_retailprice")
+    held = F.aggregate("bins", F.lit(0).cast("long"), lambda s, n: s + n)
+    return out.select("p_brand", "n", "low", "high", "p50", (F.size("bins") > 0).alias("some"), F.size("bins").alias("n_bins"), held.alias("in_bins"))
+
+
+_ALIASES = {"SWE1|2024-25": "2024", "SWE1|24": "2024", "NOR1|2024-25": "2024"}
+
+
+@query("""select s_suppkey, case s_suppkey % 4 when 0 then ['2024', '24', '2024-25'] when 1 then ['2024', '2024-25', '24'] when 2 then ['2024-25'] else ['2024', '2024-25'] end as labels from supplier""")
+def season_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The labels under which a competition's season may be stored."""
+    k = F.col("s_suppkey") % 4
+    aliases = F.create_map(*(F.lit(x) for kv in _ALIASES.items() for x in kv))
+    code = F.when(k < 2, " swe1").when(k == 2, "ENG1").otherwise("NOR1")
+    label = F.when(k == 0, "24").otherwise("2024-25 ")
+    return read(spark, d, "supplier").select("s_suppkey", seasons.candidate_labels(code, label, aliases).alias("labels"))
+
+
+@query("""select c_custkey as id, case when c_custkey % 3 = 0 then true when c_custkey % 5 = 0 then true else c_custkey % 4 = 1 and c_custkey % 7 > 0 end as changed from customer""")
+def resolution_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Which resolved rows are new or unlike those of the last run, where nulls are the same."""
+    k = F.col("c_custkey")
+    rows = read(spark, d, "customer").select(k.alias("id"), F.when(k % 4 == 1, F.when(k % 7 > 0, "x")).otherwise("DEF").alias("grp"), F.when(k % 5 == 0, 0.5).otherwise(1.0).alias("confidence"))
+    old = read(spark, d, "customer").where("c_custkey % 3 > 0").select(k.alias("id"), F.when(k % 4 == 1, F.lit(None)).otherwise("DEF").cast("string").alias("grp"), F.lit(1.0).alias("confidence"))
+    return names.with_changes(rows, old, "id", ["grp", "confidence"]).select("id", "changed")
