@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rates import half_up
 from ..functions.text import fold
 from .distribution import with_percentiles
 
@@ -18,33 +21,49 @@ TOTALS = ["tackles_won", "shots_on_target", "shots_off_target", "aerial_duels_wo
 UNSCALED_IN_RANKS, UNSCALED_IN_PROFILES = ["rank", "matches"], ["rank", "points", "matches"]
 
 
-def in_mode(metric: str, mode: str, minutes: Column) -> Column:
+@dataclass(frozen=True)
+class RateModes:
+    """What a table of metrics shows in a mode: stored totals by rate, totals worked out from rates (whole ones rounded), and totals that rates are worked out from."""
+
+    stored: dict[str, str]
+    derived: list[str]
+    totals: list[str]
+    whole: bool = False
+
+
+OUTFIELD = RateModes(STORED_TOTALS, DERIVED_TOTALS, TOTALS)
+# The same for goalkeepers.
+KEEPERS = RateModes({"saves_per_90": "saves", "saved_shots_inside_box_per_90": "saved_shots_inside_box", "runs_out_per_90": "runs_out"}, ["completed_passes_per_90", "accurate_long_balls_per_90"], ["clean_sheets", "penalty_saves"], whole=True)
+
+
+def in_mode(metric: str, mode: str, minutes: Column, modes: RateModes = OUTFIELD) -> Column:
     """A metric's value in mode `rate` or `full`: as stored, the stored total, a total from the rate, or a rate from the total."""
-    if mode == "full" and metric in STORED_TOTALS:
-        return F.col(STORED_TOTALS[metric])
-    if mode == "full" and metric in DERIVED_TOTALS:
-        return F.when(minutes > 0, F.col(metric) * minutes / 90.0)
-    if mode == "rate" and metric in TOTALS:
+    if mode == "full" and metric in modes.stored:
+        return F.col(modes.stored[metric])
+    if mode == "full" and metric in modes.derived:
+        season = F.when(minutes > 0, F.col(metric) * minutes / 90.0)
+        return half_up(season).cast("double") if modes.whole else season
+    if mode == "rate" and metric in modes.totals:
         return F.when(minutes > 0, F.col(metric) * 90.0 / minutes)
     return F.col(metric)
 
 
-def stored_percentile(metric: str, mode: str) -> str | None:
+def stored_percentile(metric: str, mode: str, modes: RateModes = OUTFIELD) -> str | None:
     """The metric whose stored percentile goes with a value in a mode; none where it must be worked out over the rows shown."""
-    if mode == "full" and metric in STORED_TOTALS:
-        return STORED_TOTALS[metric]
-    if (mode == "full" and metric in DERIVED_TOTALS) or (mode == "rate" and metric in TOTALS):
+    if mode == "full" and metric in modes.stored:
+        return modes.stored[metric]
+    if (mode == "full" and metric in modes.derived) or (mode == "rate" and metric in modes.totals):
         return None
     return metric
 
 
-def in_rate_mode(rows: DataFrame, keys: list[str], metrics: list[str], mode: str, group: str, eligible: Column) -> DataFrame:
+def in_rate_mode(rows: DataFrame, keys: list[str], metrics: list[str], mode: str, group: str, eligible: Column, modes: RateModes = OUTFIELD) -> DataFrame:
     """keys, and each metric with its percentile in a mode; percentiles of rows that are not eligible are null.
 
     keys identify a row; rows: keys, minutes, group, the metrics with their totals, and <metric>_percentile where it is stored.
     """
-    out = rows.withColumns({f"__m_{m}": in_mode(m, mode, F.col("minutes")) for m in metrics})
-    held = {m: stored_percentile(m, mode) for m in metrics}
+    out = rows.withColumns({f"__m_{m}": in_mode(m, mode, F.col("minutes"), modes) for m in metrics})
+    held = {m: stored_percentile(m, mode, modes) for m in metrics}
     fresh = {f"__m_{m}": f"__p_{m}" for m, h in held.items() if h is None}
     if fresh:
         out = with_percentiles(out, keys, group, fresh, eligible)
@@ -52,6 +71,22 @@ def in_rate_mode(rows: DataFrame, keys: list[str], metrics: list[str], mode: str
     return out.select(*keys, *(F.col(f"__{side}_{m}").alias(m + tail) for m in metrics for side, tail in (("m", ""), ("p", "_percentile"))))
 
 
+def profile_bar(kind: str, rate: str, full: str | None, mode: str, minutes: Column, eligible: Column, whole: bool = False) -> tuple[Column, Column]:
+    """(value, percentile) of a profile's bar in a mode, with the percentile columns <metric>_percentile.
+
+    invariant: one metric in either mode; paired: a stored metric for each; derived: a season's total from the rate, whole
+    if asked for, which keeps the rate's percentile.  Percentiles of rows that are not eligible are null.
+    """
+    if kind not in ("invariant", "paired", "derived"):
+        raise ValueError(f"no kind of bar {kind!r}")
+    shown = full if kind == "paired" and mode == "full" and full else rate
+    value = F.col(shown)
+    if kind == "derived" and mode == "full":
+        season = F.when(minutes > 0, F.col(rate) * minutes / 90.0)
+        value = half_up(season).cast("double") if whole else season
+    return value, F.when(eligible, F.col(f"{shown}_percentile"))
+
+
 def per_match(field: str, value: Column, matches: Column, percentage: bool) -> Column:
     """For ranks: percentages, rank and matches as they are, others by match; null without matches."""
     played = F.when(matches > 0, value if field in UNSCALED_IN_RANKS else value / matches)

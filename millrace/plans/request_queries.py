@@ -110,3 +110,56 @@ def season_and_position_tests(spark: SparkSession, d: str) -> DataFrame:
     label = F.when(k % 3 == 0, F.concat(y, F.lit("-97"))).otherwise(y)
     position = F.when(k % 4 == 0, "GK").when(k % 4 == 1, "DEF").when(k % 4 == 2, "FWD")
     return read(spark, d, "orders").select("o_orderkey", requests.plain_year(label).alias("plain"), requests.outfield(position).alias("outfield"))
+
+
+_KEEPERS = """k as (select s_suppkey as entity, 'GK' as position, case when s_suppkey % 9 > 0 then 90 * (1 + s_suppkey % 30) else 0 end as minutes, s_suppkey % 13 / 4.0::double as saves_per_90, (s_suppkey % 40)::double as saves, s_suppkey % 17 / 3.0::double as completed_passes_per_90, (s_suppkey % 11)::double as clean_sheets, s_suppkey % 7 / 7.0::double as rating from supplier)"""
+_BARS = ["saves_per_90", "completed_passes_per_90", "clean_sheets", "rating"]
+
+
+def _keepers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    number = lambda m, by: ((k % m) / F.lit(float(by)))
+    rows = read(spark, d, "supplier").select(k.alias("entity"), F.lit("GK").alias("position"), F.when(k % 9 > 0, 90 * (1 + k % 30)).otherwise(0).alias("minutes"), number(13, 4).alias("saves_per_90"), number(40, 1).alias("saves"), number(17, 3).alias("completed_passes_per_90"), number(11, 1).alias("clean_sheets"), number(7, 7).alias("rating"))
+    fit = F.col("minutes") >= 450
+    return with_percentiles(rows, ["entity"], "position", {m: f"{m}_percentile" for m in ["saves", *_BARS]}, fit)
+
+
+def _keeper_sql(mode: str) -> str:
+    full = mode == "full"
+    value = {"saves_per_90": "saves" if full else "saves_per_90", "completed_passes_per_90": "case when minutes > 0 then floor(completed_passes_per_90 * minutes / 90.0::double + 0.5) end" if full else "completed_passes_per_90", "clean_sheets": "clean_sheets" if full else "case when minutes > 0 then clean_sheets * 90.0::double / minutes end", "rating": "rating"}
+    shown = ", ".join(f"round(v_{m}, 6) as {m}, round({_PCT.format(c='v_' + m)}, 6) as {m}_percentile" for m in _BARS)
+    return f"with {_KEEPERS}, v as (select entity, position, minutes >= 450 as fit, {', '.join(f'{v} as v_{m}' for m, v in value.items())} from k) select entity, {shown} from v"
+
+
+def _keeper_rows(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    made = requests.in_rate_mode(_keepers(spark, d), ["entity"], _BARS, mode, "position", F.col("minutes") >= 450, requests.KEEPERS)
+    return made.select("entity", *(F.round(c, 6).alias(c) for m in _BARS for c in (m, f"{m}_percentile")))
+
+
+@query(_keeper_sql("full"))
+def keeper_mode_full(spark: SparkSession, d: str) -> DataFrame:
+    """Goalkeepers' metrics as a season's totals."""
+    return _keeper_rows(spark, d, "full")
+
+
+@query(_keeper_sql("rate"))
+def keeper_mode_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Goalkeepers' metrics as rates."""
+    return _keeper_rows(spark, d, "rate")
+
+
+def _bar_sql() -> str:
+    pct = lambda m: _PCT.format(c=m)
+    season = "case when minutes > 0 then floor(completed_passes_per_90 * minutes / 90.0::double + 0.5) end"
+    rows = [("rating", "full", "rating", "rating"), ("saves", "full", "saves", "saves"), ("saves", "rate", "saves_per_90", "saves_per_90"), ("passes", "full", season, "completed_passes_per_90"), ("passes", "rate", "completed_passes_per_90", "completed_passes_per_90")]
+    return f"with {_KEEPERS}, f as (select *, minutes >= 450 as fit from k) " + " union all ".join(f"select entity, '{b}' as bar, '{m}' as mode, round({v}, 6) as value, round({pct(p)}, 6) as percentile from f" for b, m, v, p in rows)
+
+
+@query(_bar_sql())
+def profile_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The three kinds of bars of a profile, by mode, with the percentile that goes with each."""
+    rows, fit, minutes = _keepers(spark, d), F.col("minutes") >= 450, F.col("minutes")
+    bars = [("rating", "invariant", "rating", None, "full"), ("saves", "paired", "saves_per_90", "saves", "full"), ("saves", "paired", "saves_per_90", "saves", "rate"), ("passes", "derived", "completed_passes_per_90", None, "full"), ("passes", "derived", "completed_passes_per_90", None, "rate")]
+    made = [(name, mode, *requests.profile_bar(kind, rate, full, mode, minutes, fit, whole=True)) for name, kind, rate, full, mode in bars]
+    cells = F.array(*(F.struct(F.lit(n).alias("bar"), F.lit(m).alias("mode"), F.round(v, 6).alias("value"), F.round(p, 6).alias("percentile")) for n, m, v, p in made))
+    return rows.select("entity", F.explode(cells).alias("c")).select("entity", "c.*")
