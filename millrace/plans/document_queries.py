@@ -67,6 +67,16 @@ def match_events_full(spark: SparkSession, d: str) -> DataFrame:
     return events.select("match_id", "event_index", "event_id", "team_id", "kind", "success", "x", "end_y", "goal_mouth_y", "long_ball", "cross", "is_touch", "match_seconds", "final_third")
 
 
+@query(f"""with {_RAW}, b as (select distinct m from led where level = 'error'), g as (select m, row_number() over (order by m % 5, m::varchar) - 1 as match_ref from (select distinct m from r) anti join b using (m))
+    select match_ref, spot as event_index, x * 100 as x, 'Goal' as shot_outcome, 'Unknown' as body_part, k % 100 * 100 as goal_mouth_y from f join g using (m) where name = 'Goal' and fault is null""")
+def compact_shots(spark: SparkSession, d: str) -> DataFrame:
+    """Shots as a request shows them: matches by reference, codes as labels."""
+    events = match_documents.normalized(_documents(spark, d))[0]
+    matches = match_documents.references(events.select("match_id").distinct().withColumn("kickoff", F.timestamp_seconds(F.col("match_id").cast("long") % 5 * 86400)))
+    names = spark.createDataFrame([], "player_id string, player_name string")
+    return match_documents.compact(events, matches, names, "shot").select("match_ref", "event_index", "x", "shot_outcome", "body_part", "goal_mouth_y")
+
+
 def _pass_sql() -> str:
     tests = {"completed": "success", "progressive": "progressive", "final_third_entry": "final_third", "box_entry": "box_entry", "key_pass": "key_pass", "cross": '"cross"', "long_ball": "long_ball", "failed": "not success"}
     every = tests | {a: tests[n] for a, n in PASS_ALIASES.items()}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import articles
 from .registry import query, read
 
 _FOLD = f"replace(replace(replace(replace(translate(lower({{0}}), '{text.MARKED}', '{text.PLAIN}'), 'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss')"
@@ -82,3 +85,37 @@ def position_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of native positions, by words and by how they begin."""
     raw = F.element_at(F.array(*map(F.lit, _POSITIONS)), (F.col("p_partkey") % len(_POSITIONS) + 1).cast("int"))
     return read(spark, d, "part").select("p_partkey", text.position_of(raw).alias("grp"))
+
+
+_ARTICLES = """a as (select doc_id, 'Title ' || doc_id as title, source as author_id, text as body, ['T' || doc_id % 5, 'U' || doc_id % 3] as topics, case when doc_id % 4 > 0 then ['ENG' || doc_id % 2] else []::varchar[] end as competitions,
+    case when doc_id % 2 = 0 then ['2024-25'] else ['2023-24'] end as seasons, timestamp '2024-01-01' + to_days((doc_id % 400)::int) as published_at from documents)"""
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    entity = lambda kind, n, relationship: F.struct(F.lit(kind).alias("kind"), (k % n).cast("long").alias("id"), relationship.alias("relationship"))
+    return read(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("Title "), k).alias("title"), F.lit(None).cast("string").alias("subtitle"), F.col("source").alias("author_id"), F.lit("A. Uthor").alias("author_name"), F.lit("").alias("notes"), F.col("text").alias("body"),
+        F.array(F.concat(F.lit("T"), k % 5), F.concat(F.lit("U"), k % 3)).alias("topics"), F.when(k % 4 > 0, F.array(F.concat(F.lit("ENG"), k % 2))).alias("competitions"), F.when(k % 2 == 0, F.array(F.lit("2024-25"))).otherwise(F.array(F.lit("2023-24"))).alias("seasons"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=(k % 400).cast("int"))).alias("published_at"), F.array(entity("player", 11, F.when(k % 2 == 0, "subject").otherwise("mention")), entity("team", 7, F.lit("subject"))).alias("entities"),
+    )
+
+
+@query(f"""with {_ARTICLES} select 'words' as facet, doc_id from a where contains(lower(title || ' A. Uthor ' || coalesce(body, '') || ' ' || topics[1] || ' ' || topics[2]), 'que') and list_has_any(topics, ['T1', 'U2'])
+    union all select 'place', doc_id from a where list_contains(competitions, 'ENG1') and list_contains(seasons, '2023-24') union all select 'author', doc_id from a where author_id = 'src1' and published_at::date between date '2024-02-01' and date '2024-12-24'
+    union all select 'entity', doc_id from a where doc_id % 11 = 3 and doc_id % 2 = 0 and doc_id % 7 = 2""")
+def article_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Articles by words and topics, competition and season, author and days, and the entities they are about."""
+    a = _articles(spark, d)
+    day = dt.date
+    parts = {
+        "words": articles.filtered(a, q=" QUE", topics=["t1", " U2 "]),
+        "place": articles.filtered(a, competition="eng1", season="2023-24"),
+        "author": articles.filtered(a, author="src1", first_day=day(2024, 2, 1), last_day=day(2024, 12, 24)),
+        "entity": articles.filtered(a, player=3, team=2, relationship="subject"),
+    }
+    out = None
+    for name, rows in parts.items():
+        one = rows.select(F.lit(name).alias("facet"), "doc_id")
+        out = one if out is None else out.unionByName(one)
+    return out

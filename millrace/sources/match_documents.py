@@ -147,3 +147,21 @@ def normalized(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     ledger = stored(ledger)
     bad = ledger.where("level = 'error'").select("match_id").distinct()
     return typed.join(bad, "match_id", "left_anti"), ledger
+
+
+def references(matches: DataFrame) -> DataFrame:
+    """match_ref (from 0, by kick-off with unknown ones last, then id) and the columns of the matches that a request shows."""
+    order = Window.orderBy(F.col("kickoff").asc_nulls_last(), "match_id")  # the matches of one request
+    return matches.withColumn("match_ref", (F.row_number().over(order) - 1).cast("int"))
+
+
+def compact(events: DataFrame, matches: DataFrame, names: DataFrame, kind: str) -> DataFrame:
+    """Shots or passes of normalized() as a request shows them: the match as its reference, labels for codes, and the player's name.
+
+    matches: references(); names: player_id, player_name.
+    """
+    words = {"shot": ["shot_outcome", "body_part", "situation"], "pass": []}[kind]
+    own = {"shot": ["x", "y", "big_chance", "shot_assist", "goal_mouth_y", "goal_mouth_z", "blocked_x", "blocked_y"], "pass": ["x", "y", "end_x", "end_y", "success", "progressive", "final_third", "box_entry", "key_pass", "cross", "long_ball"]}[kind]
+    label = lambda c: F.initcap(F.replace(F.col(c), F.lit("_"), F.lit(" "))).alias(c)
+    rows = events.where(F.col("kind") == kind).join(matches.select("match_id", "match_ref"), "match_id").join(names, "player_id", "left")
+    return rows.select("match_ref", "event_index", "match_seconds", *own, *map(label, words), "player_id", "player_name")
