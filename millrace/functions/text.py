@@ -18,8 +18,8 @@ def _marked() -> tuple[str, str]:
 
 
 MARKED, PLAIN = _marked()
-# Letters that no mark makes of others, and what they are looked for by.
-LETTERS_ALONE = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i"}
+# Letters that no mark makes of others, and what they are looked for by; the last two are an addition.
+LETTERS_ALONE = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i", "ł": "l", "đ": "d"}
 
 
 def fold(text: Column) -> Column:
