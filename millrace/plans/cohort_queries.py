@@ -86,9 +86,11 @@ def semi_scope(spark: SparkSession, d: str) -> DataFrame:
     return cohort.in_scope(read(spark, d, "customer"), nations, "c_nationkey").where(cohort.at_least(F.col("c_acctbal"), 100, 450)).select("c_custkey", "c_acctbal")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderdate >= timestamp '1997-06-01')")
 def anti_unmapped(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an order of late."""
+    late = read(spark, d, "orders").where(F.col("o_orderdate") >= "1997-06-01").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, d, "customer").select("c_custkey").join(late, "c_custkey", "left_anti")
 
 
 @query("""select a.l_suppkey as team, count(*) as opposed from (select distinct l_orderkey, l_suppkey from lineitem) a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_suppkey is distinct from a.l_suppkey group by 1""")

@@ -57,14 +57,14 @@ def latest_success(spark: SparkSession, d: str) -> DataFrame:
     return done.groupBy("o_custkey", "o_orderpriority").agg(F.max("o_orderdate").alias("last_day"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"))
 
 
-@query(r"""with a as (select p_partkey, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^0-9a-z]+'), lambda x: length(x) > 0))) as w from part where p_partkey % 10 = 0),
-    b as (select p_partkey, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^0-9a-z]+'), lambda x: length(x) > 0))) as w from part where p_partkey % 10 = 1),
-    s as (select a.p_partkey as k, b.p_partkey as c, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) as likeness from a, b where list_has_any(a.w, b.w)),
+@query(r"""with p as (select p_partkey, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size), '[^0-9a-z]+'), lambda x: length(x) > 0))) as w from part),
+    s as (select a.p_partkey as k, b.p_partkey as c, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) as likeness from p a, p b where a.p_partkey % 20 = 0 and a.p_partkey <> b.p_partkey and list_has_any(a.w, b.w)),
     r as (select *, row_number() over (partition by k order by likeness desc, c) as n, lead(likeness) over (partition by k order by likeness desc, c) as next from s)
     select k, c, round(likeness, 6) as likeness from r where n = 1 and likeness >= 0.3 and (next is null or likeness - next > 0.03)""")
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """The best of a tenth of the parts by shared name words, if it is near enough and no other of them is about as near."""
-    return best_by_words(read(spark, d, "part"), "p_partkey % 10 = 0", "p_partkey % 10 = 1")
+    """The best other part of those with ids divisible by 20 by shared words of name, brand, type and size, if it is near enough and no other is about as near."""
+    named = read(spark, d, "part").withColumn("p_name", F.concat_ws(" ", "p_name", "p_brand", "p_type", "p_size"))
+    return best_by_words(named, "p_partkey % 20 = 0", "true")
 
 
 @query(r"""with p as (select p_partkey, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^0-9a-z]+'), lambda x: length(x) > 0))) as w from part),
@@ -72,7 +72,7 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     r as (select *, row_number() over (partition by k order by likeness desc, c) as n, lead(likeness) over (partition by k order by likeness desc, c) as next from s)
     select k, c, round(likeness, 6) as likeness from r where n = 1 and likeness >= 0.3 and (next is null or likeness - next > 0.03)""")
 def fuzzy_match_all(spark: SparkSession, d: str) -> DataFrame:
-    """fuzzy_match of the parts with ids divisible by 20 against every other part."""
+    """The same by words of the name alone."""
     return best_by_words(read(spark, d, "part"), "p_partkey % 20 = 0", "true")
 
 
@@ -90,21 +90,21 @@ def best_by_words(parts: DataFrame, queries: str, candidates: str) -> DataFrame:
     return ranked.where("n = 1 and likeness >= 0.3 and (next is null or likeness - next > 0.03)").select("k", "c", F.round("likeness", 6).alias("likeness"))
 
 
-@query("""with m as (select p_partkey, unnest(['size', 'price', 'key']) as metric, unnest([p_size / 50.0::double, p_retailprice / 2000.0::double, (p_partkey % 97) / 97.0::double]) as v from part where p_partkey <= 200),
+_EXPLAINED = """with m as (select p_partkey, unnest(['size', 'price', 'key']) as metric, unnest([p_size / 50.0::double, p_retailprice / 2000.0::double, (p_partkey % 97) / 97.0::double]) as v from part),
     q as (select * from m where p_partkey = 1)
     select m.p_partkey, m.metric, round(abs(m.v - q.v) * case m.metric when 'size' then 0.5::double when 'price' then 0.3::double else 0.2::double end, 6) as delta from m join q using (metric) where m.p_partkey <> 1
-    qualify row_number() over (partition by m.p_partkey order by abs(m.v - q.v) * case m.metric when 'size' then 0.5::double when 'price' then 0.3::double else 0.2::double end desc, m.metric) <= 2""")
+    qualify row_number() over (partition by m.p_partkey order by abs(m.v - q.v) * case m.metric when 'size' then 0.5::double when 'price' then 0.3::double else 0.2::double end desc, m.metric) <= 2"""
+
+
+@query(_EXPLAINED)
 def similarity_explanation(spark: SparkSession, d: str) -> DataFrame:
-    """The two largest weighted feature differences of each of the first 200 parts to one subject."""
-    return explained(read(spark, d, "part").where("p_partkey <= 200"))
+    """The two largest weighted feature differences of every other part to one subject."""
+    return explained(read(spark, d, "part"))
 
 
-@query("""with m as (select p_partkey, unnest(['size', 'price', 'key']) as metric, unnest([p_size / 50.0::double, p_retailprice / 2000.0::double, (p_partkey % 97) / 97.0::double]) as v from part),
-    q as (select * from m where p_partkey = 1)
-    select m.p_partkey, m.metric, round(abs(m.v - q.v) * case m.metric when 'size' then 0.5::double when 'price' then 0.3::double else 0.2::double end, 6) as delta from m join q using (metric) where m.p_partkey <> 1
-    qualify row_number() over (partition by m.p_partkey order by abs(m.v - q.v) * case m.metric when 'size' then 0.5::double when 'price' then 0.3::double else 0.2::double end desc, m.metric) <= 2""")
+@query(_EXPLAINED)
 def similarity_explanation_all(spark: SparkSession, d: str) -> DataFrame:
-    """similarity_explanation over all parts."""
+    """The same, under the name it had beside a narrower one."""
     return explained(read(spark, d, "part"))
 
 

@@ -33,15 +33,15 @@ def article_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "source", "n_chars")
 
 
-@query("""select a.doc_id, b.doc_id as related from documents a join documents b on a.source = b.source and a.lang = b.lang and a.doc_id <> b.doc_id where a.doc_id % 100 = 0 qualify row_number() over (partition by a.doc_id order by abs(a.n_chars - b.n_chars), b.doc_id) <= 3""")
+@query("""select a.doc_id, b.doc_id as related from documents a join documents b on a.source = b.source and a.lang = b.lang and a.doc_id <> b.doc_id where a.doc_id % 20 = 0 qualify row_number() over (partition by a.doc_id order by abs(a.n_chars - b.n_chars), b.doc_id) <= 3""")
 def related_articles(spark: SparkSession, d: str) -> DataFrame:
-    """The related documents of those with ids divisible by 100."""
-    return related(read(spark, d, "documents"), "doc_id % 100 = 0")
+    """The related documents of all in the query set for searches, ids divisible by 20."""
+    return related(read(spark, d, "documents"), "doc_id % 20 = 0")
 
 
 @query("""select a.doc_id, b.doc_id as related from documents a join documents b on a.source = b.source and a.lang = b.lang and a.doc_id <> b.doc_id where a.doc_id % 20 = 0 qualify row_number() over (partition by a.doc_id order by abs(a.n_chars - b.n_chars), b.doc_id) <= 3""")
 def related_articles_all(spark: SparkSession, d: str) -> DataFrame:
-    """The related documents of all in the query set for searches, ids divisible by 20."""
+    """The same, under the name it had beside a narrower one."""
     return related(read(spark, d, "documents"), "doc_id % 20 = 0")
 
 
