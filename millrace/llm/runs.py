@@ -26,7 +26,6 @@ one; further columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
