@@ -21,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, minhash, mixing, quality, token_files
-from millrace.llm.common import stored, table
+from millrace.llm.common import give_back, stored, table
 from millrace.llm.queries import END_ID, TOKENIZER
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    give_back()  # the texts that the driver has fitted on
+    return quality.kept(docs, model)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
