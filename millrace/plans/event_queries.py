@@ -21,11 +21,16 @@ def _xy(spark: SparkSession, d: str) -> DataFrame:
 @query("""select user_id, count(*) as n, count(*) filter (event_type = 'click') as clicks, count(*) filter (event_type = 'purchase' and value > 50) as large_purchases, count(distinct ts::date) as days,
     round_even(avg(value) filter (event_type = 'view'), 0) as mean_view, sum(m) as minutes from (select *, case when row_number() over (partition by user_id, ts::date order by minute(ts) desc, event_id) = 1 then minute(ts) else 0 end as m from events) group by 1""")
 def event_conditional_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").withColumn("day", F.to_date("ts"))
-    longest = e.groupBy("user_id", "day").agg(F.max(F.minute("ts")).alias("m")).groupBy("user_id").agg(F.sum("m").alias("minutes"))
-    kind = F.col("event_type")
-    counts = e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(kind == "click").alias("clicks"), F.count_if((kind == "purchase") & (F.col("value") > 50)).alias("large_purchases"), F.countDistinct("day").alias("days"), F.bround(F.avg(F.when(kind == "view", F.col("value")))).alias("mean_view"))
-    return counts.join(longest, "user_id")
+    """By user and day first, so that a user without an id is a row as well; the mean is settled before it is rounded, as sums in another order differ in their last bits."""
+    kind, value = F.col("event_type"), F.col("value")
+    viewed = F.when(kind == "view", value)
+    days = read(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.count("*").alias("n"), F.count_if(kind == "click").alias("clicks"), F.count_if((kind == "purchase") & (value > 50)).alias("large_purchases"), F.sum(viewed).alias("s"), F.count(viewed).alias("views"), F.max(F.minute("ts")).alias("m")
+    )
+    longest = F.coalesce("m", F.when(F.col("n") > 1, 0))
+    total = [F.sum(c).alias(c) for c in ("n", "clicks", "large_purchases")]
+    mean = F.bround(F.round(F.sum("s") / F.nullif(F.sum("views"), F.lit(0)), 9))
+    return days.groupBy("user_id").agg(*total, F.count("day").alias("days"), mean.alias("mean_view"), F.sum(longest).alias("minutes"))
 
 
 @query(f"""with e as ({_XY}), c as (select event_type, least(x * 12 // 10000, 11) * 8 + least(y * 8 // 10000, 7) as cell, count(*) as n from e group by 1, 2),
