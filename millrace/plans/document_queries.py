@@ -45,7 +45,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
         F.filter(F.array(qualifier(k % 3 == 0, "Longball"), qualifier(k % 5 == 0, "Cross"), qualifier(F.lit(True), "Zone"), qualifier((m == 5) & (k % 7 == 0), "Weird")), lambda q: q.isNotNull()).alias("qualifiers"),
     )
     team = lambda t: F.struct(F.lit(t).alias("teamId"), F.lit(f"Team {t}").alias("name"))
-    whole = e.groupBy("m").agg(F.collect_list(event).alias("events"))  # 125 events a match
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("i", event.alias("event")))), lambda x: x["event"])  # rows come in any order out of a shuffle
+    whole = e.groupBy("m").agg(in_order.alias("events"))  # 125 events a match
     text = whole.select(F.to_json(F.struct(F.col("m").alias("matchId"), team("t0").alias("home"), team("t1").alias("away"), "events")).alias("document"))
     path = working_folder(spark)
     text.write.text(path)
