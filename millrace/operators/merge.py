@@ -75,12 +75,21 @@ def ladder(rows: DataFrame, key: str, steps: list[tuple[str, DataFrame, str]], o
     return df.withColumn(out, F.coalesce(*found)).withColumn("method", method).drop(*found)
 
 
-def unique_match(rows: DataFrame, candidates: DataFrame, on: str, key: str, candidate: str, agree: Column | None = None) -> DataFrame:
-    """key, candidate: accepted only where exactly one candidate shares `on` (and agrees)."""
-    met = rows.alias("r").join(candidates.alias("c"), F.col(f"r.{on}") == F.col(f"c.{on}"))
-    if agree is not None:
-        met = met.where(agree)
-    return met.groupBy(F.col(f"r.{key}").alias(key)).agg(F.countDistinct(f"c.{candidate}").alias("__n"), F.min(f"c.{candidate}").alias(candidate)).where("__n = 1").drop("__n")
+def unique_match(rows: DataFrame, candidates: DataFrame, on: str | list[str], key: str, candidate: str, agree: Column | None = None) -> DataFrame:
+    """key, candidate: accepted only where exactly one candidate shares `on`, a column or several (and agrees).
+
+    Without `agree`, candidates meet no row one by one: of each key the smallest and the largest are kept, which are the
+    same where there is one.  What can be an equality belongs into `on`, as `agree` is asked of every pair.
+    """
+    on = [on] if isinstance(on, str) else on
+    low, high = F.min(f"c.{candidate}").alias("__low"), F.max(f"c.{candidate}").alias("__high")
+    if agree is None:
+        ends = candidates.alias("c").groupBy(*(F.col(f"c.{o}").alias(o) for o in on)).agg(low, high).where("__low is not null")
+        met = rows.select(*on, key).join(ends, on).groupBy(key).agg(F.min("__low").alias(candidate), F.max("__high").alias("__high"))
+    else:
+        pairs = rows.alias("r").join(candidates.alias("c"), [F.col(f"r.{o}") == F.col(f"c.{o}") for o in on]).where(agree)
+        met = pairs.groupBy(F.col(f"r.{key}").alias(key)).agg(low, high).withColumnRenamed("__low", candidate)
+    return met.where(F.col(candidate) == F.col("__high")).drop("__high")
 
 
 def sole_owner(rows: DataFrame, shared_id: str, newest_first: list[Column]) -> DataFrame:

@@ -13,7 +13,7 @@ from .registry import query, read
 def unique_candidate_match(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 1000).alias("band"))
     c = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.floor(F.col("c_acctbal") / 1000).alias("band"))
-    return merge.unique_match(s, c, "nation", "s_suppkey", "c_custkey", agree=F.col("r.band") == F.col("c.band"))
+    return merge.unique_match(s, c, ["nation", "band"], "s_suppkey", "c_custkey")
 
 
 @query("""select o_orderkey, coalesce(a.e, b.e, case when o_custkey % 5 = 0 then -o_custkey end) as entity, case when a.e is not null then 'mapping' when b.e is not null then 'register' when o_custkey % 5 = 0 then 'native' end as method from orders
