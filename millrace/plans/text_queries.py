@@ -45,15 +45,34 @@ def related_articles_all(spark: SparkSession, d: str) -> DataFrame:
     return related(read(spark, d, "documents"), "doc_id % 20 = 0")
 
 
-def related(documents: DataFrame, queries: str) -> DataFrame:
-    """doc_id, related: the three documents of the same source and language nearest in length to each chosen one, itself left out."""
+def related(documents: DataFrame, queries: str, n: int = 3) -> DataFrame:
+    """doc_id, related: the n documents of the same source and language nearest in length to each chosen one, itself left out; those without a length come last.
+
+    Of equal lengths the n + 1 smallest ids can count, and only the n lengths on either side, so a length's rows are put
+    beside those of its neighbours once, and a document meets a few rows, not its whole group.  Lengths are at most as
+    many as the longest text has letters.
+    """
     from pyspark.sql import Window
 
-    docs = documents.select("doc_id", "source", "lang", "n_chars")
-    a, b = docs.where(queries).alias("a"), docs.alias("b")
-    met = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.doc_id") != F.col("b.doc_id")))
-    rows = met.select(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("related"), F.abs(F.col("a.n_chars") - F.col("b.n_chars")).alias("gap"))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("gap", "related"))).where("n <= 3").select("doc_id", "related")
+    same, docs = ["source", "lang"], documents.select("doc_id", "source", "lang", "n_chars").where("source is not null and lang is not null")
+
+    def smallest(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        """The n + 1 smallest ids of each group, with their lengths."""
+        place = F.dense_rank().over(Window.partitionBy(*by).orderBy("doc_id"))
+        return rows.withColumn("place", place).where(F.col("place") <= n + 1).groupBy(*by).agg(F.collect_list(F.struct(F.col("doc_id").alias("related"), F.col("n_chars").alias("length"))).alias(name))
+
+    order = Window.partitionBy(*same).orderBy("n_chars")
+    around = [step("own", i).over(order) for step in (F.lag, F.lead) for i in range(1, n + 1)]
+    none = F.array().cast("array<struct<related:bigint,length:bigint>>")
+    lengths = smallest(docs.where("n_chars is not null"), [*same, "n_chars"], "own")
+    near = lengths.select(*same, "n_chars", F.concat("own", *(F.coalesce(c, none) for c in around)).alias("near"))
+    bare = smallest(docs.where("n_chars is null"), same, "bare")
+    asked = docs.where(queries)
+    known = asked.where("n_chars is not null").join(near, [*same, "n_chars"]).join(bare, same, "left").select("doc_id", "n_chars", F.explode(F.concat("near", F.coalesce("bare", none))).alias("c"))
+    others = asked.where("n_chars is null").join(smallest(docs, same, "first"), same).select("doc_id", "n_chars", F.explode("first").alias("c"))
+    rows = known.unionByName(others).select("doc_id", "c.related", F.abs(F.col("n_chars") - F.col("c.length")).alias("gap")).where("doc_id <> related")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("gap").asc_nulls_last(), "related"))
+    return rows.withColumn("place", place).where(F.col("place") <= n).select("doc_id", "related")
 
 
 @query("""select conv_id, count(*) as turns, count(*) filter (role = 'user') as asked, list(distinct role order by role) as roles, max(length(text)) as longest from conversations group by 1""")
