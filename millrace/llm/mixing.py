@@ -11,7 +11,7 @@ one).  Whether a document is in depends on its doc_id and the seed alone.
 Only the cell totals, as many as there are combinations and not documents, are
 fitted, on Spark at every size: a grouped sum with partial sums before its
 shuffle, so that a source with a third of all rows is no burden; then rounds of
-grouped sums and joins over the cells, one written table for each round, until
+sums over the classes of the cells, one written table for each round, until
 every margin is within `tolerance` of its target or `rounds` are over.
 `margins_reached` reports what was reached.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, stored, uniform
@@ -86,22 +86,28 @@ def goals(cells: DataFrame, margin: str, wanted: Mapping[str, float] | None, exp
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Iterative proportional fitting of cells (margins, tokens); adds fitted and factor (1 in cells without tokens).
 
-    targets: for each margin a DataFrame (that column, goal in tokens).
+    targets: for each margin a DataFrame (that column, goal in tokens).  A round reads the cells once and sums them over
+    the classes of each margin in turn: joining the sums back would double its plan with every margin, and plans of many
+    rounds fill the driver.
     """
     now = cells.withColumn("fitted", F.col("tokens"))
+    for margin, goal in targets.items():
+        now = now.join(goal.select(margin, F.col("goal").alias(f"__goal_{margin}")), margin, "left")
+    now = stored(now)
+    known = [f"__goal_{margin}" for margin in targets]
     for _ in range(rounds):
         off = []
-        for margin, goal in targets.items():
-            sums = now.groupBy(margin).agg(F.sum("fitted").alias("__now")).join(goal, margin, "left")
-            step = F.when(F.col("__now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("__now")).otherwise(1.0)
-            now = now.join(sums.select(margin, step.alias(f"__{margin}")), margin).withColumn("fitted", F.col("fitted") * F.col(f"__{margin}"))
+        for margin in targets:
+            total = F.sum("fitted").over(Window.partitionBy(margin))
+            step = F.when(total > 0, F.coalesce(f"__goal_{margin}", F.lit(0.0)) / total).otherwise(1.0)
+            now = now.withColumn(f"__{margin}", step).withColumn("fitted", F.col("fitted") * F.col(f"__{margin}"))
             off.append(F.abs(F.col(f"__{margin}") - 1.0))
-        now = stored(now.withColumn("__off", F.greatest(F.lit(0.0), *off)).select(*cells.columns, "fitted", "__off"))
+        now = stored(now.withColumn("__off", F.greatest(F.lit(0.0), *off)).select(*cells.columns, *known, "fitted", "__off"))
         # every class was within the tolerance before its step, so no step moved anything
         if (now.where("fitted > 0").agg(F.max("__off")).first()[0] or 0.0) <= tolerance:
             break
     used = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(1.0)
-    return now.drop("__off").withColumn("factor", used)
+    return now.drop("__off", *known).withColumn("factor", used)
 
 
 def margins_reached(raked: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
