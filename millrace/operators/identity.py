@@ -22,6 +22,11 @@ KEY = ["provider", "provider_id"]
 NATIVE, REGISTERED = "n-", "r-"
 
 
+def _grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the rows: it is sorted and merged, never sent through the driver, whatever its size."""
+    return df.hint("merge")
+
+
 def _strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -31,11 +36,11 @@ def evidence(rows: DataFrame, mappings: DataFrame, register_names: DataFrame, sp
 
     register_names: entity, name; spells: slice, entity, team.  Sets are gathered for one entity of one slice and provider at a time.
     """
-    known = rows.join(mappings.select(*KEY, "entity"), KEY)
+    known = rows.join(_grown(mappings.select(*KEY, "entity")), KEY)
     said = known.select("slice", "provider", "entity", canonical_name("name").alias("alias"), F.explode_outer("teams").alias("team"))
     seen = said.select("slice", "provider", "entity").distinct()
-    listed = seen.join(register_names.select("entity", canonical_name("name").alias("alias")), "entity").select("slice", "provider", "entity", "alias", F.lit(None).cast("string").alias("team"))
-    played = seen.join(spells, ["slice", "entity"]).select("slice", "provider", "entity", F.lit(None).cast("string").alias("alias"), "team")
+    listed = seen.join(_grown(register_names.select("entity", canonical_name("name").alias("alias"))), "entity").select("slice", "provider", "entity", "alias", F.lit(None).cast("string").alias("team"))
+    played = seen.join(_grown(spells), ["slice", "entity"]).select("slice", "provider", "entity", F.lit(None).cast("string").alias("alias"), "team")
     every = said.unionByName(listed).unionByName(played)
     return every.groupBy("slice", "provider", "entity").agg(F.collect_set(F.when(F.col("alias") != "", F.col("alias"))).alias("aliases"), F.collect_set("team").alias("teams"))
 
@@ -49,7 +54,7 @@ def index(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     teams = known.select("slice", F.col("provider").alias("team_provider"), "entity", F.explode("teams").alias("team"))
     ends = [F.min("entity").alias("low"), F.max("entity").alias("high")]
     by_name = names.groupBy("slice", "alias", "provider").agg(*ends)
-    by_team = names.join(teams, ["slice", "entity"]).groupBy("slice", "alias", "team", "provider", "team_provider").agg(*ends)
+    by_team = names.join(_grown(teams), ["slice", "entity"]).groupBy("slice", "alias", "team", "provider", "team_provider").agg(*ends)
     return by_name, by_team
 
 
@@ -62,10 +67,10 @@ def unique_candidates(rows: DataFrame, known: DataFrame) -> DataFrame:
     asked = rows.select(*KEY, "slice", canonical_name("name").alias("alias"), "teams", "needs_team").where("alias <> ''")
     bare = asked.where(F.coalesce(F.size("teams"), F.lit(0)) <= 0).where("not needs_team")
     other = by_name.withColumnRenamed("provider", "by")
-    met = bare.join(other, ["slice", "alias"]).where("by <> provider").select(*KEY, "slice", "low", "high")
+    met = bare.join(_grown(other), ["slice", "alias"]).where("by <> provider").select(*KEY, "slice", "low", "high")
     sided = asked.select(*KEY, "slice", "alias", F.explode("teams").alias("team"))
     others = by_team.withColumnsRenamed({"provider": "by", "team_provider": "team_by"})
-    met = met.unionByName(sided.join(others, ["slice", "alias", "team"]).where("by <> provider and team_by <> provider").select(*KEY, "slice", "low", "high"))
+    met = met.unionByName(sided.join(_grown(others), ["slice", "alias", "team"]).where("by <> provider and team_by <> provider").select(*KEY, "slice", "low", "high"))
     ends = met.groupBy(*KEY, "slice").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return ends.select(*KEY, "slice", F.when(F.col("low") == F.col("high"), F.col("low")).alias("candidate"), (F.col("low") != F.col("high")).alias("ambiguous"))
 
@@ -82,12 +87,12 @@ def resolve(rows: DataFrame, mappings: DataFrame, canonical: DataFrame, register
     none       rows without an id
     """
     listed = canonical.where("register_id is not null").groupBy("register_id").agg(F.min("entity").alias("listed_entity"))
-    ids = register.groupBy(*KEY).agg(F.min("register_id").alias("row_register")).join(listed.withColumnRenamed("register_id", "row_register"), "row_register", "left")
+    ids = register.groupBy(*KEY).agg(F.min("register_id").alias("row_register")).join(_grown(listed.withColumnRenamed("register_id", "row_register")), "row_register", "left")
     ids = ids.select(*KEY, F.coalesce("listed_entity", F.concat(F.lit(REGISTERED), F.col("row_register"))).alias("register_entity"))
     alone = mappings.groupBy("entity").agg((F.count("*") == 1).alias("alone"))
     unlisted = canonical.select("entity", F.col("register_id").isNull().alias("unlisted"))
-    held = mappings.join(alone, "entity").join(unlisted, "entity", "left").select(*KEY, F.col("entity").alias("mapped"), "method", (F.col("alone") & F.coalesce("unlisted", F.lit(True))).alias("movable"))
-    asked = stored(rows.where(F.coalesce("provider_id", F.lit("")) != "").join(held, KEY, "left").join(ids, KEY, "left"))
+    held = mappings.join(_grown(alone), "entity").join(_grown(unlisted), "entity", "left").select(*KEY, F.col("entity").alias("mapped"), "method", (F.col("alone") & F.coalesce("unlisted", F.lit(True))).alias("movable"))
+    asked = stored(rows.where(F.coalesce("provider_id", F.lit("")) != "").join(_grown(held), KEY, "left").join(_grown(ids), KEY, "left"))
     event, auto = F.col("provider").isin(event_providers), F.col("method") == "auto"
     by_mapping = F.col("mapped").isNotNull() & (event | ~auto | (F.col("register_entity").isNull() & ~F.col("movable")))
     first = F.when(by_mapping, F.struct(F.col("mapped").alias("entity"), F.lit("mapping").alias("rung"))).when(
@@ -97,7 +102,7 @@ def resolve(rows: DataFrame, mappings: DataFrame, canonical: DataFrame, register
     # an event provider's id that the register lists is not looked for among names, and not created either
     open_rows = stepped.where("first is null and register_entity is null")
     found = unique_candidates(open_rows.select(*rows.columns), known)
-    left = stepped.join(found, [*KEY, "slice"], "left")
+    left = stepped.join(_grown(found), [*KEY, "slice"], "left")
     new = F.concat(F.lit(NATIVE), F.col("provider"), F.lit("-"), F.col("provider_id"))
     pick = lambda entity, rung: F.struct(entity.cast("string").alias("entity"), F.lit(rung).alias("rung"))
     moved = F.col("mapped").isNotNull()
@@ -117,13 +122,13 @@ def resolve(rows: DataFrame, mappings: DataFrame, canonical: DataFrame, register
 def mappings_after(resolved: DataFrame, mappings: DataFrame) -> DataFrame:
     """Mappings with those of a run: new and moved ones are automatic, all others stay."""
     made = resolved.where("entity is not null and rung <> 'mapping'").groupBy(*KEY).agg(F.min("entity").alias("entity")).withColumn("method", F.lit("auto"))
-    return mappings.select(*KEY, "entity", "method").join(made.select(*KEY), KEY, "left_anti").unionByName(made)
+    return mappings.select(*KEY, "entity", "method").join(_grown(made.select(*KEY)), KEY, "left_anti").unionByName(made)
 
 
 def canonical_after(resolved: DataFrame, canonical: DataFrame) -> DataFrame:
     """Entities with those that a run has made."""
     register_id = F.when(F.col("entity").startswith(REGISTERED), F.substring("entity", len(REGISTERED) + 1, 1 << 20))
-    made = resolved.where("rung in ('register', 'native')").select("entity").distinct().join(canonical.select("entity"), "entity", "left_anti")
+    made = resolved.where("rung in ('register', 'native')").select("entity").distinct().join(_grown(canonical.select("entity")), "entity", "left_anti")
     return canonical.select("entity", "register_id").unionByName(made.select("entity", register_id.alias("register_id")))
 
 
@@ -134,7 +139,7 @@ def with_event_teams(waiting: DataFrame, events: DataFrame, team_mappings: DataF
     """
     named = events.join(team_mappings.select("provider", "provider_team_id", F.col("team").alias("mapped_team")), ["provider", "provider_team_id"], "left")
     context = named.groupBy(*KEY, "slice").agg(F.array_union(F.collect_set("team"), F.collect_set("mapped_team")).alias("__teams"), F.coalesce(F.bool_or(F.coalesce("provider_team_id", F.lit("")) != ""), F.lit(False)).alias("__needs"))
-    met = waiting.join(context, [*KEY, "slice"], "left")
+    met = waiting.join(_grown(context), [*KEY, "slice"], "left")
     changed = {"teams": F.coalesce("__teams", _strings()), "needs_team": F.coalesce("__needs", F.lit(False))}
     return met.withColumns(changed).select(*waiting.columns)
 
@@ -150,7 +155,7 @@ def settle(
     state = stored(waiting.select("*", F.lit(None).cast("string").alias("entity"), F.lit("quarantine").alias("rung"), F.lit(0).alias("run")))
     fields = waiting.columns
     for run in range(1, most_runs + 1):
-        names = register.select(*KEY, "register_id", "name").join(canonical.where("register_id is not null"), "register_id").select("entity", "name").distinct()
+        names = register.select(*KEY, "register_id", "name").join(_grown(canonical.where("register_id is not null")), "register_id").select("entity", "name").distinct()
         known = stored(evidence(others, mappings, names, spells))
         told = stored(resolve(others, mappings, canonical, register, known, event_providers))
         canonical, between = stored(canonical_after(told, canonical)), stored(mappings_after(told, mappings))
@@ -158,8 +163,8 @@ def settle(
         tried = stored(resolve(still, between, canonical, register, known, event_providers))
         after = stored(mappings_after(tried, between))
         moved = tried.where("entity is not null").select(*fields, "entity", "rung", F.lit(run).alias("run"))
-        state = stored(state.join(moved.select(*KEY, "slice"), [*KEY, "slice"], "left_anti").unionByName(moved))
-        changes = after.join(mappings, [*KEY, "entity"], "left_anti")
+        state = stored(state.join(_grown(moved.select(*KEY, "slice")), [*KEY, "slice"], "left_anti").unionByName(moved))
+        changes = after.join(_grown(mappings), [*KEY, "entity"], "left_anti")
         mappings = after
         if changes.isEmpty():
             return state, mappings, canonical, run

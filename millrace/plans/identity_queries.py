@@ -55,7 +55,7 @@ def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def _evidence(t: dict[str, DataFrame]) -> DataFrame:
-    listed = t["register"].join(t["canonical"], "register_id").select("entity", "name").distinct()
+    listed = t["register"].join(t["canonical"].hint("merge"), "register_id").select("entity", "name").distinct()
     return identity.evidence(t["a"].unionByName(t["b"]).unionByName(t["w"]), t["mappings"], listed, t["spells"])
 
 
@@ -132,7 +132,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").where("o_custkey % 5 < 2")
     slices = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("L"), F.col("c_nationkey") % 5).alias("slice"))
     third, team = F.col("o_orderkey") % 3, F.col("o_custkey") % 7
-    return o.join(slices, "o_custkey").select(F.lit("W").alias("provider"), F.concat(F.lit("w"), "o_custkey").alias("provider_id"), "slice", F.when(third == 0, F.concat(F.lit("wt"), team)).alias("provider_team_id"), F.when(third == 1, F.concat(F.lit("t"), team)).alias("team"))
+    return o.join(slices.hint("merge"), "o_custkey").select(F.lit("W").alias("provider"), F.concat(F.lit("w"), "o_custkey").alias("provider_id"), "slice", F.when(third == 0, F.concat(F.lit("wt"), team)).alias("provider_team_id"), F.when(third == 1, F.concat(F.lit("t"), team)).alias("team"))
 
 
 def _team_mappings(spark: SparkSession) -> DataFrame:
@@ -143,7 +143,7 @@ def _team_mappings(spark: SparkSession) -> DataFrame:
 def quarantine_retry(spark: SparkSession, d: str) -> DataFrame:
     """Rows in quarantine tried again with the teams of their events, run by run, until none moves; then once more over what came of it, which moves nothing."""
     t = _tables(spark, d)
-    others, waiting = t["a"].unionByName(t["b"]), t["w"].join(t["mappings"], identity.KEY, "left_anti")
+    others, waiting = t["a"].unionByName(t["b"]), t["w"].join(t["mappings"].hint("merge"), identity.KEY, "left_anti")
     same = [_events(spark, d), t["register"], _team_mappings(spark), t["spells"], ["W"]]
     state, mappings, canonical, runs = identity.settle(waiting, others, same[0], t["mappings"], t["canonical"], *same[1:])
     again, *_, more = identity.settle(waiting, others, same[0], mappings, canonical, *same[1:])
