@@ -15,13 +15,30 @@ def _back(df: DataFrame, stats: DataFrame, groups: list[str]) -> DataFrame:
     return join_same(df, stats, groups, "left")
 
 
-def winsorized_zscore(df: DataFrame, groups: list[str], value: str, out: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+def winsorized_moments(df: DataFrame, groups: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """groups, low, high, mean, dev: two quantiles, and mean and population deviation of values held within them.
+
+    Everything is told from numbers of equal values, so rows are read for those only.  The sums are of distances from
+    the lower quantile: between two quantiles they cancel little, and equal values give a deviation of exactly 0.
+    """
+    bounds = quantiles(df, groups, value, {"low": low, "high": high})
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+    over = F.greatest(F.col("low"), F.least(F.col("high"), F.col(value))) - F.col("low")
+    sums = _back(counts, bounds, groups).withColumn("over", over).groupBy(*groups).agg(F.first("low").alias("low"), F.first("high").alias("high"), *(F.sum(x).alias(a) for a, x in (("n", F.col("n")), ("one", F.col("n") * F.col("over")), ("two", F.col("n") * F.col("over") * F.col("over")))))
+    mean = F.col("one") / F.col("n")
+    return sums.select(*groups, "low", "high", (F.col("low") + mean).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("two") / F.col("n") - mean * mean)).alias("dev"))
+
+
+def winsorized(value: Column, low: Column, high: Column, mean: Column, dev: Column) -> Column:
     """(value held within the two quantiles - mean of those) / population deviation; 0 where that is 0."""
-    bounds = quantiles(df, groups, value, {"__low": low, "__high": high})
-    held = _back(df, bounds, groups).withColumn("__held", F.greatest(F.col("__low"), F.least(F.col("__high"), F.col(value))))
-    stats = held.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.avg("__held").alias("__mean"), F.stddev_pop("__held").alias("__dev"))
-    z = F.when(F.col(value).isNotNull(), F.when(F.col("__dev") > 0, (F.col("__held") - F.col("__mean")) / F.col("__dev")).otherwise(0.0))
-    return _back(held, stats, groups).withColumn(out, z).drop("__low", "__high", "__held", "__mean", "__dev")
+    return F.when(value.isNotNull(), F.when(dev > 0, (F.greatest(low, F.least(high, value)) - mean) / dev).otherwise(0.0))
+
+
+def winsorized_zscore(df: DataFrame, groups: list[str], value: str, out: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Adds winsorized() of each row's value within its group."""
+    parts = ["low", "high", "mean", "dev"]
+    told = winsorized_moments(df, groups, value, low, high).withColumnsRenamed({c: f"__{c}" for c in parts})
+    return _back(df, told, groups).withColumn(out, winsorized(F.col(value), *(F.col(f"__{c}") for c in parts))).drop(*(f"__{c}" for c in parts))
 
 
 def robust_scaled(df: DataFrame, groups: list[str], value: str, out: str, clip: float = 5.0) -> DataFrame:

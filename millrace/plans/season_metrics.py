@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import per_unit, ratio, share_of_known, shrunk_delta, sum_required
-from ..operators.distribution import unpivot, winsorized_zscore, with_availability
+from ..operators.distribution import unpivot, winsorized, winsorized_moments, with_availability
 from ..operators.ranking import midrank_percentile
+from ..operators.steps import stored
 
 # Field, metric, section and position names, weights and thresholds that results are compared by.
 FIRST = ["goals_a", "npg_a", "xg_a", "npxg_a", "xa_a", "xgchain_a", "xgbuildup_a", "shots_a", "assists_a", "key_passes_a"]
@@ -138,14 +139,24 @@ def _parts(df: DataFrame) -> DataFrame:
 def scores(metrics: DataFrame, key: str) -> DataFrame:
     """key, position, score, raw and percentile of eligible rows (key, position, metrics); raw is null if a part is missing.
 
-    Parts are added in the order of their names, so that equal parts give equal sums.
+    Parts are added in the order of their names, so that equal parts give equal sums.  Rows are made once, into a table;
+    quantiles and moments of all parts, one row a position, come to them, so that no part is gathered by a shuffle.
     """
-    used = sorted({m for _, _, m, _ in components()})
-    long = winsorized_zscore(unpivot(metrics, [key, "position"], used), ["position", "metric"], "value", "z", *WINSORIZE)
-    terms = long.join(_parts(metrics), ["position", "metric"]).withColumn("term", F.col("z") * F.col("weight"))
-    added = F.aggregate(F.array_sort(F.collect_list(F.struct("metric", "term"))), F.lit(0.0), lambda total, x: total + x["term"])
-    raw = terms.groupBy(key, "position", "score").agg(F.when(F.count("z") == F.count("*"), F.round(added, 9)).alias("raw"))
-    return midrank_percentile(raw, ["position", "score"], "raw", "percentile")
+    used, parts = sorted({m for _, _, m, _ in components()}), ["low", "high", "mean", "dev"]
+    rows = stored(metrics.where(F.col("position").isin(*sorted({p for _, p, _, _ in components()}))).select(key, "position", *(F.col(m).cast("double").alias(m) for m in used)))
+    told = winsorized_moments(unpivot(rows, ["position"], used), ["position", "metric"], "value", *WINSORIZE)
+    told = told.groupBy("position").agg(*(F.max(F.when(F.col("metric") == m, F.struct(*parts))).alias(f"__{m}") for m in used))
+    z = {m: winsorized(F.col(m), *(F.col(f"__{m}")[p] for p in parts)).alias(m) for m in used}
+    scaled = rows.join(F.broadcast(told), "position").select(key, "position", *z.values())  # one row a position
+
+    def added(score: str, position: str) -> Column:
+        terms = sorted((m, w) for s, p, m, w in components() if (s, p) == (score, position))
+        return F.round(sum((F.col(m) * F.lit(w) for m, w in terms), F.lit(0.0)), 9)
+
+    of = {p: sorted({s for s, q, _, _ in components() if q == p}) for _, p, _, _ in components()}
+    each = F.coalesce(*(F.when(F.col("position") == p, F.array(*(F.struct(F.lit(s).alias("score"), added(s, p).alias("raw")) for s in names))) for p, names in of.items()))
+    raw = scaled.select(key, "position", F.inline(each))
+    return midrank_percentile(stored(raw), ["position", "score"], "raw", "percentile")
 
 
 def coverage_by_position(metrics: DataFrame) -> DataFrame:

@@ -108,7 +108,9 @@ def keeper_metric_row(spark: SparkSession, d: str) -> DataFrame:
     (select *, rank() over (partition by position, score order by raw nulls last) - 1 as below, count(raw) over (partition by position, score, raw) as same, count(raw) over (partition by position, score) as n from r)""")
 def season_scores(spark: SparkSession, d: str) -> DataFrame:
     """Five scores of weighted, winsorised z-scores, and their percentiles within the position."""
-    return sm.scores(eligible(spark, d), "entity").select("entity", "score", F.round("raw", 6).alias("raw"), F.round("percentile", 6).alias("percentile"))
+    # raw has nine digits, so one in a thousand lies half-way at six: rounded in doubles, as the SQL's are
+    six = F.signum("raw") * F.floor(F.abs("raw") * 1e6 + 0.5) / 1e6
+    return sm.scores(eligible(spark, d), "entity").select("entity", "score", six.alias("raw"), F.round("percentile", 6).alias("percentile"))
 
 
 _SHARES = ", ".join(f"avg(({m} is not null)::int) as {m}" for m in sm.METRICS)
